@@ -6,8 +6,10 @@ budget is its weight's share of the total budget, which is, where not given,
 the largest that every weighted source can fill.  For each source the counts by
 length are then fitted: first the same share of every length, rounded down, then
 one more of the longest lengths while they fit, then a bounded-knapsack dynamic
-programme over the unused counts for what remains, so that the budget is met
-exactly or missed by the least that any choice over the unused counts allows.
+programme over the unused counts for what remains.  Where those cannot meet the
+budget, documents are handed back to the programme until it is met or all are
+back, so that it is missed by the least that any choice allows (a budget of over
+``CELLS`` tokens that cannot be met is left at the programme's best).
 Within a source and length, documents are taken in the order of a seeded hash
 of doc_id and text.
 
@@ -35,6 +37,8 @@ from pyspark.sql.window import Window
 
 from .tables import stored
 
+#: Tokens up to which documents are handed back to a programme that misses its budget.
+CELLS = 4_000_000
 #: Weights of the tables' sources: src0 .. src19.
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
@@ -46,7 +50,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum is budget or as little less as the unused counts allow."""
+    """How many of each length to take so that their sum is budget, or as little less as any choice allows."""
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((lengths * counts).sum())
@@ -64,7 +68,14 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             more = min(int(free[k]), max(0, rest - 4 * int(lengths[0])) // int(lengths[k]))
             taken[k] += more
             rest -= more * int(lengths[k])
-        taken += _knapsack(lengths, counts - taken, rest)
+        fitted = _knapsack(lengths, counts - taken, rest)
+        back = 1
+        while int((lengths * fitted).sum()) < rest and taken.any() and rest <= CELLS:
+            # nothing unused fits: hand some of what is taken back to the programme, at last all of it
+            given = np.minimum(taken, back)
+            taken, rest, back = taken - given, rest + int((lengths * given).sum()), back * 4
+            fitted = _knapsack(lengths, counts - taken, rest)
+        taken += fitted
     out = np.empty_like(taken)
     out[order] = taken
     return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, quality
+from . import binary_ids, imatch, mixing, pieces, quality, secrets
 from .tables import documents
 
 
@@ -16,8 +16,12 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
+        "op4_source_mixing": lambda s, d: mixing.mix(documents(s, d)),
         "op7_imatch_fingerprints": lambda s, d: imatch.fingerprints(documents(s, d)),
         "op8_quality_classifier": lambda s, d: quality.quality_scores(documents(s, d), _labels(s, d)),
+        "op9_binary_token_ids": lambda s, d: binary_ids.write_binary(documents(s, d))[0],
+        "op10_sentencepiece": lambda s, d: pieces.encode(documents(s, d)),
     }
 
 

@@ -63,8 +63,10 @@ def novelty(text: str, start: int, end: int, window: int = 256) -> int:
     if not _tools:
         primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         _tools["size"] = lambda b, z=zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False): len(z.compress(b))
-    before, after = text[max(0, start - window) : start].encode("utf-8", "replace"), text[end : end + window].encode("utf-8", "replace")
-    return _tools["size"](before + text[start:end].encode("utf-8", "replace") + after) - _tools["size"](before + after)
+    # the candidate's own repeats nearby would make it look familiar
+    own, before, after = (x.encode("utf-8", "replace") for x in (text[start:end], text[max(0, start - window) : start], text[end : end + window]))
+    before, after = before.replace(own, b""), after.replace(own, b"")
+    return _tools["size"](before + own + after) - _tools["size"](before + after)
 
 
 def scan(text: str | None, least_bytes: int = 8, least_share: float = 0.42, window: int = 256) -> list[tuple[int, int, str, int]]:
