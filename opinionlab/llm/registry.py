@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_ids, imatch, mixing, pieces, quality, secrets
+from . import binary_ids, imatch, mixing, ngram_join, pieces, quality, secrets
 from .tables import documents
 
 
@@ -16,6 +16,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": lambda s, d: ngram_join.join(documents(s, d)),
         "op3_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
         "op4_source_mixing": lambda s, d: mixing.mix(documents(s, d)),
         "op7_imatch_fingerprints": lambda s, d: imatch.fingerprints(documents(s, d)),
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_imatch_fingerprints": imatch.SQL}
+    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op7_imatch_fingerprints": imatch.SQL}
