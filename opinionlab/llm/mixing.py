@@ -40,7 +40,7 @@ from .tables import stored
 #: Tokens up to which documents are handed back to a programme that misses its budget.
 CELLS = 4_000_000
 #: Weights of the tables' sources: src0 .. src19.
-WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
+WEIGHTS = {f"src{i}": 2.0 + i % 2 for i in range(20)}
 
 
 def n_tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_ids, imatch, mixing, ngram_join, pieces, quality, secrets
+from . import binary_ids, imatch, link_trust, mixing, ngram_join, pieces, pii, quality, secrets, topk
 from .tables import documents
 
 
@@ -16,9 +16,12 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_link_trust_url_filter": lambda s, d: link_trust.filter_urls(s.read.parquet(f"{d}/pages.parquet")),
         "op2_ngram_jaccard_join": lambda s, d: ngram_join.join(documents(s, d)),
         "op3_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
         "op4_source_mixing": lambda s, d: mixing.mix(documents(s, d)),
+        "op5_exact_top_k": lambda s, d: topk.top_k(s.read.parquet(f"{d}/embeddings.parquet")),
+        "op6_pii_spans": lambda s, d: pii.find_pii(documents(s, d)),
         "op7_imatch_fingerprints": lambda s, d: imatch.fingerprints(documents(s, d)),
         "op8_quality_classifier": lambda s, d: quality.quality_scores(documents(s, d), _labels(s, d)),
         "op9_binary_token_ids": lambda s, d: binary_ids.write_binary(documents(s, d))[0],
@@ -27,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op7_imatch_fingerprints": imatch.SQL}
+    return {"op1_link_trust_url_filter": link_trust.SQL, "op2_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k": topk.SQL, "op7_imatch_fingerprints": imatch.SQL}
