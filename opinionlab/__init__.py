@@ -1,0 +1 @@
+"""opinionlab: auditable analysis of comment and opinion tables on Spark DataFrames."""
