@@ -14,12 +14,9 @@ from ..functions import scalar, text
 from ..sources.readers import Keywords
 from . import rows
 
-#: Rows of a table -> (least, most) rows of a first labelling sample.
-SEED_SIZES = [(10_000, (100, 200)), (100_000, (200, 400)), (None, (300, 500))]
-
-
 def seed_size(n: int) -> tuple[int, int]:
-    return next(size for upto, size in SEED_SIZES if upto is None or n <= upto and (n < upto or upto != 10_000))
+    """(least, most) rows of a first labelling sample of a table of n rows."""
+    return (100, 200) if n < 10_000 else (200, 400) if n <= 100_000 else (300, 500)
 
 
 def _order(seed: int, key: str) -> list[Column]:
