@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources.tables import stored
 
 
 def gram_counts(df: DataFrame, key: str, body: str, max_chars: int = 600) -> DataFrame:
@@ -99,7 +100,8 @@ def regression(df: DataFrame, key: str, body: str, label: str, max_features: int
     index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(known)
     n = known.count()
     weights = known.groupBy(label).agg((F.lit(float(n)) / (len(index.labels) * F.count("*"))).alias("weight"))
-    rows = index.transform(unit.transform(idf.transform(counted)).join(weights, label))
+    # written once: fitting reads it in every iteration
+    rows = stored(index.transform(unit.transform(idf.transform(counted)).join(weights, label)).select("features", "y", "weight"))
     fitted = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(rows)
     scored = fitted.transform(unit.transform(idf.transform(counter.transform(grams)))).select(key, vector_to_array("probability").alias("p"))
     long = scored.select(key, F.posexplode("p").alias("prediction", "score")).withColumn("prediction", F.col("prediction").cast("double"))

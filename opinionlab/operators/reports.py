@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import scalar, text
 from . import sampling
 
-WHOLE = Window.partitionBy(F.lit(0))  # over rows of a finished aggregate only
+
+
+def whole() -> WindowSpec:
+    """All rows, for those of a finished aggregate only."""
+    return Window.partitionBy(F.lit(0))
 
 
 def label_table(spark: SparkSession, labels: list[str]) -> DataFrame:
@@ -26,14 +30,14 @@ def distribution(df: DataFrame, label: str, targets: list[str] | None = None) ->
     counts = named(df, label).groupBy("label").agg(F.count("*").alias("count"))
     if targets:
         counts = counts.join(label_table(df.sparkSession, targets).select("label"), "label", "full_outer").select("label", F.coalesce("count", F.lit(0)).alias("count"))
-    return counts.withColumn("share", scalar.share(F.col("count"), F.sum("count").over(WHOLE)))
+    return counts.withColumn("share", scalar.share(F.col("count"), F.sum("count").over(whole())))
 
 
 def effective_distribution(df: DataFrame, label: str, targets: list[str]) -> DataFrame:
     """A2, V3: targets only, shares within them."""
     counts = df.filter(F.col(label).isin(targets)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("count"))
     counts = label_table(df.sparkSession, targets).select("label").join(counts, "label", "left").select("label", F.coalesce("count", F.lit(0)).alias("count"))
-    return counts.withColumn("share", scalar.share(F.col("count"), F.sum("count").over(WHOLE)))
+    return counts.withColumn("share", scalar.share(F.col("count"), F.sum("count").over(whole())))
 
 
 def coverage(df: DataFrame, label: str, targets: list[str], least: int = 20, most_share: float = 0.8) -> DataFrame:
@@ -43,7 +47,7 @@ def coverage(df: DataFrame, label: str, targets: list[str], least: int = 20, mos
     unknown = "__unknown_or_non_target__"
     counts = own.select(F.when(F.col("label").isin(targets), F.col("label")).otherwise(unknown).alias("label")).groupBy("label").agg(F.count("*").alias("count"))
     aims = label_table(spark, targets).select("label").join(counts, "label", "left").select("label", F.coalesce("count", F.lit(0)).alias("count"))
-    aims = aims.withColumn("share", scalar.share(F.col("count"), F.sum("count").over(WHOLE)))
+    aims = aims.withColumn("share", scalar.share(F.col("count"), F.sum("count").over(whole())))
     over = (F.col("share") > most_share) & F.lit(len(targets) > 1)
     status = F.when(over, "audit_required").when(F.col("count") < least, "needs_targeted_sampling").otherwise("ok")
     note = F.when(over, F.lit(f"share over {most_share:.0%}")).when(F.col("count") < least, F.lit(f"under {least} rows")).otherwise("")

@@ -83,7 +83,7 @@ def round_audit(df: DataFrame, label: str, confidence: str, margin: str, body: s
 
 def distribution_delta(now: DataFrame, before: DataFrame, label: str, targets: list[str], most: float = 0.05) -> DataFrame:
     """(label, previous_share, current_share, delta, status) over both rounds' labels and the targets."""
-    part = lambda d: reports.distribution(d, label, targets).withColumn("exact", F.col("count") / F.sum("count").over(reports.WHOLE))
+    part = lambda d: reports.distribution(d, label, targets).withColumn("exact", F.col("count") / F.sum("count").over(reports.whole()))
     a, b = (part(d).select("label", F.col("exact").alias(n)) for d, n in ((before, "p"), (now, "c")))
     own = a.join(b, "label", "full_outer").na.fill(0.0, ["p", "c"])
     delta = F.round(F.abs(F.col("c") - F.col("p")), 6)
