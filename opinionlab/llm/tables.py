@@ -1,43 +1,12 @@
-"""Shared-folder tables: what cuts a lineage here is written where every executor can read it again."""
+"""Tables that the operators read, and those in the shared folder that cut their lineages."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where it names none (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = tempfile.mkdtemp(prefix="opinionlab-")
-        atexit.register(shutil.rmtree, shared_dir.own, ignore_errors=True)
-    return shared_dir.own
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and written as Parquet to the shared folder; reading it survives the loss of executors.
-
-    The table is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/opinionlab-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["documents", "shared_dir", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
