@@ -69,10 +69,11 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             taken[k] += more
             rest -= more * int(lengths[k])
         fitted = _knapsack(lengths, counts - taken, rest)
-        back = 1
+        back = 64
         while int((lengths * fitted).sum()) < rest and taken.any() and rest <= CELLS:
-            # nothing unused fits: hand some of what is taken back to the programme, at last all of it
-            given = np.minimum(taken, back)
+            # nothing unused fits: hand some of what is taken back to the programme, the shortest first, at last all of it
+            before = np.concatenate([np.cumsum(taken[::-1])[::-1][1:], [0]])  # documents taken of shorter lengths
+            given = np.clip(back - before, 0, taken)
             taken, rest, back = taken - given, rest + int((lengths * given).sum()), back * 4
             fitted = _knapsack(lengths, counts - taken, rest)
         taken += fitted
