@@ -116,11 +116,12 @@ def length_bucket(text: Column) -> Column:
 
 
 def _grams(text: Column, low: int, high: int) -> Column:
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(own: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(own) - (n - 1))
+        return F.when(F.length(own) >= n, F.transform(starts, lambda i: F.substring(own, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(n) for n in range(low, high + 1)))
+    # the text is bound to a variable of its own: an expression within a lambda is computed for each element
+    return F.element_at(F.transform(F.array(text), lambda own: F.concat(*(of(own, n) for n in range(low, high + 1)))), 1)
 
 
 def topic_grams(text: Column) -> Column:

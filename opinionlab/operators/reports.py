@@ -69,7 +69,7 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
 
 def crosstab_wide(df: DataFrame, row: str, column: str, values: list[str] | None = None) -> DataFrame:
     """A5, wide: a column for each value of column, zero-filled."""
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def row_shares(tab: DataFrame) -> DataFrame:
