@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar, text
 from ..sources.readers import ORDINAL
 
-SALT = "large-scale-sentiment-analysis"
+SALT = "opinionlab"
 #: What removes a row, in order.
 STAGES = ["empty", "emoji_only", "low_information", "below_min_info_len", "duplicate"]
 
