@@ -116,7 +116,7 @@ def test_mix_meets_weights(docs):
         assert took.get(s, 0) == (reach & ((1 << (aim + 1)) - 1)).bit_length() - 1
     assert set(took) <= set(own)
     again = mixing.mix(docs.repartition(5), weights).collect()
-    assert {r["doc_id"] for r in again} == {r["doc_id"] for r in rows} != {r["doc_id"] for r in mixing.mix(docs, weights, seed=12).collect()}
+    assert {r["doc_id"] for r in again} == {r["doc_id"] for r in rows}
     assert {r["doc_id"] for r in mixing.mix(docs, weights, broadcast_rows=0).collect()} == {r["doc_id"] for r in rows}
     fixed = mixing.mix(docs, weights, budget=3000)
     assert sum(r["n_tokens"] for r in fixed.collect()) <= 3000
@@ -129,7 +129,7 @@ def test_mix_takes_the_least_hashes(spark):
     df = spark.createDataFrame([(k, f"w{k} x y", "src0") for k in range(50)] + [(100, "a b c", "src1")] * 5, "doc_id long, text string, source string")
     got = {r["doc_id"] for r in mixing.mix(df, {"src0": 1.0}, budget=30).collect()}
     order = [r["doc_id"] for r in df.filter("source = 'src0'").orderBy(F.xxhash64(F.lit(11), "doc_id", "text")).collect()]
-    assert got == set(order[:10])
+    assert got == set(order[:10]) != {r["doc_id"] for r in mixing.mix(df, {"src0": 1.0}, budget=30, seed=12).collect()}
     assert mixing.mix(df, {"src1": 1.0}, budget=9).count() == 0 and mixing.mix(df, {"src1": 1.0}, budget=15).count() == 5  # repeated rows go together
 
 
