@@ -32,7 +32,7 @@ def staged(df: DataFrame, text_col: str, ordinal: str = ORDINAL, *, drop_low_inf
     own = own.withColumn("removed_by", removed)
     if dedupe:
         apart = F.when(F.col("removed_by").isNotNull(), F.col(ordinal))
-        place = F.row_number().over(Window.partitionBy(apart, *dedupe).orderBy(ordinal))
+        place = F.row_number().over(Window.partitionBy(F.xxhash64(*dedupe), apart, *dedupe).orderBy(ordinal))
         own = own.withColumn("removed_by", F.when(F.col("removed_by").isNull() & (place > 1), STAGES[4]).otherwise(F.col("removed_by")))
     return own
 
@@ -43,7 +43,7 @@ def prepare(df: DataFrame, text_col: str, ordinal: str = ORDINAL, hash_col: str
     kept = kept.withColumns(
         {
             "text_hash": scalar.hashed(F.col("clean_text"), salt),
-            "duplicate_count": F.count("*").over(Window.partitionBy("clean_text")),
+            "duplicate_count": F.count("*").over(Window.partitionBy(F.xxhash64("clean_text"), "clean_text")),
             "source_hash": scalar.hashed(F.col(hash_col), salt) if hash_col else F.lit(""),
         }
     )

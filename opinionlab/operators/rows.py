@@ -51,9 +51,9 @@ def numeric_between(column: Column, low: float | None = None, high: float | None
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], ordinal: str, last: bool = False) -> DataFrame:
-    """Of the rows equal in keys (nulls are equal) the one of least, or greatest, ordinal."""
+    """Of the rows equal in keys (nulls are equal) the one of least, or greatest, ordinal; rows are sorted by a hash of the keys before the keys themselves."""
     order = F.col(ordinal).desc() if last else F.col(ordinal).asc()
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_place = 1").drop("_place")
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(order))).filter("_place = 1").drop("_place")
 
 
 def members_of_groups(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def staged(df: DataFrame, config: Config, ordinal: str = ORDINAL) -> tuple[DataF
             here = len(stages)
             stages.append((name, reason))
             own = F.when(F.col(STAGE).isNull(), key(main))
-            place = F.row_number().over(Window.partitionBy(F.when(F.col(STAGE).isNotNull(), F.col(ordinal)), own).orderBy(ordinal))
+            place = F.row_number().over(Window.partitionBy(F.xxhash64(own), F.when(F.col(STAGE).isNotNull(), F.col(ordinal)), own).orderBy(ordinal))
             df = df.withColumn(STAGE, F.when(F.col(STAGE).isNull() & (place > 1), here).otherwise(F.col(STAGE)))
     return df, stages
 
