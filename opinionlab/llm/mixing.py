@@ -78,8 +78,11 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((lengths * counts).sum())
-    if budget >= total:
+    gap = total - budget
+    if gap <= 0:
         taken = counts.copy()
+    elif gap <= 4 * int(lengths[0]):  # nearly all: choose what to leave out instead, the least sum from gap on
+        taken = counts - _knapsack(lengths[::-1], counts[::-1], gap, gap + int(lengths[0]))[::-1]
     else:
         taken = counts * budget // total if total * max(1, int(counts.max(initial=0))) < 1 << 62 else (counts * (budget / total)).astype(np.int64)
         rest = budget - int((lengths * taken).sum())
@@ -106,13 +109,14 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     return out
 
 
-def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: counts within free whose lengths sum to the largest reachable value up to budget."""
-    by = np.full(budget + 1, -1, np.int64)  # the item that first reached a sum
+def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int, upto: int | None = None) -> np.ndarray:
+    """Bounded knapsack: counts within free whose lengths sum to the largest reachable value up to budget, or with upto the least from budget to upto."""
+    most = budget if upto is None else upto
+    by = np.full(most + 1, -1, np.int64)  # the item that first reached a sum
     by[0] = -2
     items: list[tuple[int, int]] = []
     for k, (length, n) in enumerate(zip(lengths.tolist(), free.tolist(), strict=True)):
-        n, part = min(n, budget // length), 1
+        n, part = min(n, most // length), 1
         while n > 0 and by[budget] == -1:  # binary parts of the count
             size = min(part, n)
             step = size * length
@@ -123,7 +127,8 @@ def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
             part *= 2
         if by[budget] != -1:
             break
-    at, out = int(np.flatnonzero(by != -1)[-1]), np.zeros(len(lengths), np.int64)
+    reached = np.flatnonzero(by != -1)
+    at, out = int(reached[-1] if upto is None else reached[reached >= budget][0]), np.zeros(len(lengths), np.int64)
     # an item reaches new sums only from sums that earlier items reached, so going back never meets it twice
     while at:
         k, size = items[by[at]]
