@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd")
 YES = tuple(sorted("1 1.0 y yes true include included 有效 是 纳入".split()))
 NO = tuple(sorted("0 0.0 n no false exclude excluded 不纳入 否 排除".split()))
@@ -67,6 +69,16 @@ def find_column(df: DataFrame, aliases: list[str], explicit: str | None = None)
     return next((names[a.lower()] for a in aliases if a.lower() in names), None)
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter(condition) for columns that cost much to compute.
+
+    A plain filter would be pushed below the projection that makes the columns,
+    with a copy of their expressions for each use; a column that isn't
+    deterministic between the two stops that, so they are computed once.
+    """
+    return df.withColumn("_fence", F.spark_partition_id()).filter(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def dense_ids(df: DataFrame, ordinal: str, name: str = "row_id") -> DataFrame:
     """0 .. n - 1 in the order of a distinct integer ordinal, without one partition for all rows.
 
@@ -75,10 +87,11 @@ def dense_ids(df: DataFrame, ordinal: str, name: str = "row_id") -> DataFrame:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    low, high = df.agg(F.min(ordinal), F.max(ordinal)).first()
+    slim = stored(df.select(ordinal))  # so that what df is made of runs once for the counts and once for the rows
+    low, high = slim.agg(F.min(ordinal), F.max(ordinal)).first()
     width = max(1, -(-(int(high) - int(low) + 1) // parts)) if low is not None else 1
     cut = F.floor((F.col(ordinal) - F.lit(int(low or 0))) / F.lit(width)).cast("long")
     own = df.withColumn("_range", cut)
-    starts = own.groupBy("_range").agg(F.count("*").alias("_n")).selectExpr("_range", "sum(_n) OVER (ORDER BY _range) - _n AS _before")
+    starts = slim.withColumn("_range", cut).groupBy("_range").agg(F.count("*").alias("_n")).selectExpr("_range", "sum(_n) OVER (ORDER BY _range) - _n AS _before")
     own = own.join(F.broadcast(starts), "_range")  # at most 4 rows for each shuffle partition
     return own.withColumn(name, F.expr(f"_before + row_number() OVER (PARTITION BY _range ORDER BY `{ordinal}`) - 1").cast("long")).drop("_range", "_before")

@@ -39,7 +39,7 @@ def staged(df: DataFrame, text_col: str, ordinal: str = ORDINAL, *, drop_low_inf
 
 def prepare(df: DataFrame, text_col: str, ordinal: str = ORDINAL, hash_col: str | None = None, salt: str = SALT, **how) -> DataFrame:
     """The kept rows with row_id 0 .. n - 1 in input order, text_hash, duplicate_count and source_hash."""
-    kept = staged(df, text_col, ordinal, **how).filter("removed_by is null").drop("removed_by")
+    kept = scalar.keep(staged(df, text_col, ordinal, **how), F.col("removed_by").isNull()).drop("removed_by")
     kept = kept.withColumns(
         {
             "text_hash": scalar.hashed(F.col("clean_text"), salt),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import scalar, text
 from ..operators import rows
 from ..sources.readers import ORDINAL
 
@@ -89,9 +89,9 @@ def staged(df: DataFrame, config: Config, ordinal: str = ORDINAL) -> tuple[DataF
 def process(df: DataFrame, config: Config, ordinal: str = ORDINAL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(result, removed, log): result has keep_columns if given; removed has all columns and the reason; log counts each stage."""
     own, stages = staged(df, config, ordinal)
-    result = own.filter(F.col(STAGE).isNull()).drop(STAGE)
+    result = scalar.keep(own, F.col(STAGE).isNull()).drop(STAGE)
     keep = [c for c in config.keep_columns if c in result.columns]
-    removed = own.filter(F.col(STAGE).isNotNull()).withColumn(REASON, F.element_at(F.array(*(F.lit(r) for _, r in stages)), F.col(STAGE) + 1)) if stages else own.limit(0).withColumn(REASON, F.lit(""))
+    removed = scalar.keep(own, F.col(STAGE).isNotNull()).withColumn(REASON, F.element_at(F.array(*(F.lit(r) for _, r in stages)), F.col(STAGE) + 1)) if stages else own.limit(0).withColumn(REASON, F.lit(""))
     return result.select(*keep) if keep else result, removed.drop(STAGE), step_log(own, stages)
 
 
