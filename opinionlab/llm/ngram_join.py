@@ -4,13 +4,17 @@ A text's set holds the hashes of its distinct word n-grams.  Two sets join if
 their Jaccard similarity is at least t.
 
 1. One pass over the texts writes, for each document, a signature of its set,
-   the set's size and band keys of its minhashes (``bands`` keys of ``rows``
-   minima each).  Documents with the same signature have the same set; from
-   here on one of them, that of least doc_id, stands for all.
-2. Band keys are shuffled as packed arrays; sets that share a key are linked to
-   the least of them, and the links' connected components are the blocks.  Two
-   sets of similarity t miss each other with probability
-   (1 - t ** rows) ** bands: 0.003 for t = 0.6 with 24 bands of 3, less above.
+   the set's size, band keys of its minhashes (``bands`` keys of ``rows`` minima
+   each) and a sketch, a byte of each band's first minimum.  Documents with the
+   same signature have the same set; from here on one of them, that of least
+   doc_id, stands for all.
+2. Band keys are shuffled as packed arrays; sets that share a key and enough of
+   their sketches (what a pair at t has less four standard deviations) are
+   linked, and the links' connected components are the blocks.  The sketches
+   keep chance collisions of band keys, which grow with the square of the
+   corpus, from running blocks together.  Two sets of similarity t miss each
+   other with probability (1 - t ** rows) ** bands: 0.008 for t = 0.5 with 36
+   bands of 3, 0.0002 at 0.6.
 3. The n-grams of sets in blocks of two or more are read again and each block is
    joined exactly in a trie.  N-grams are ordered by the number of the block's
    sets that hold them, the commonest first, so that similar sets share long
@@ -45,7 +49,7 @@ from pyspark.sql import functions as F
 from . import grams
 from .tables import stored
 
-N, T, BANDS, ROWS = 3, 0.6, 24, 3
+N, T, BANDS, ROWS = 3, 0.5, 36, 3
 #: Rows up to which the documents of blocks, or those to drop, are broadcast; beyond, tables are joined by key.
 BROADCAST_ROWS = 500_000
 _ODD = grams.mix(np.arange(1, BANDS * ROWS * 4 + 1, dtype=np.uint64)) | np.uint64(1)
@@ -56,68 +60,92 @@ def _signatures(bounds: np.ndarray, own: np.ndarray) -> np.ndarray:
     return (sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def _band_keys(bounds: np.ndarray, own: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A row of band keys for each set that isn't empty."""
+def _band_keys(bounds: np.ndarray, own: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of band keys, and one of the sketch, for each set that isn't empty."""
     full = np.flatnonzero(np.diff(bounds))
-    keys = np.zeros((len(full), bands), np.uint64)
+    keys, sketch = np.zeros((len(full), bands), np.uint64), np.zeros((len(full), bands), np.uint8)
     if not len(full):
-        return keys
+        return keys, sketch
     spread = grams.mix(own + np.uint64(0x51ED27))
     for b in range(bands):
         key = np.full(len(full), b, np.uint64)
         for r in range(rows):
-            key = grams.mix(key + np.minimum.reduceat(spread * _ODD[b * rows + r], bounds[:-1][full]))
+            least = np.minimum.reduceat(spread * _ODD[b * rows + r], bounds[:-1][full])
+            if not r:
+                sketch[:, b] = grams.mix(least) >> np.uint64(56)
+            key = grams.mix(key + least)
         keys[:, b] = key
-    return keys
+    return keys, sketch
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Each row of an array as a binary."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
 
 
 def described(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, sig, size, keys) of each document that has n-grams and a doc_id."""
+    """(doc_id, sig, size, keys, sketch) of each document that has n-grams and a doc_id."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, bounds, own in grams.gram_sets(batch.column(1), n):
                 full = np.flatnonzero(np.diff(bounds))
-                keys = _band_keys(bounds, own, bands, rows)
-                width = 8 * bands
-                packed = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((np.arange(len(full) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(keys.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full + first)), pa.array(_signatures(bounds, own)[full]), pa.array(np.diff(bounds)[full], pa.int64()), packed], names=["doc_id", "sig", "size", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(apply, "doc_id long, sig long, size long, keys binary")
-
-
-def _links(table: DataFrame, bands: int) -> DataFrame:
-    """(a, b), a < b: signatures that share a band key, each linked to the least one under that key."""
+                keys, sketch = _band_keys(bounds, own, bands, rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full + first)), pa.array(_signatures(bounds, own)[full]), pa.array(np.diff(bounds)[full], pa.int64()), _packed(keys), _packed(sketch)], names=["doc_id", "sig", "size", "keys", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(apply, "doc_id long, sig long, size long, keys binary, sketch binary")
+
+
+def _linked(entries: np.ndarray, least: int) -> np.ndarray:
+    """(a, b) signatures to link among entries of equal keys whose sketches agree in at least ``least`` places.
+
+    Under each key the least signature is linked to those that agree with it;
+    these go, and it begins again with the rest.
+    """
+    entries = entries[np.argsort(entries["key"], kind="stable")]
+    same = entries["key"][1:] == entries["key"][:-1]
+    entries = entries[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(entries) else entries
+    entries = entries[np.lexsort((entries["sig"], entries["key"]))]
+    fresh = (entries["key"][1:] != entries["key"][:-1]) | (entries["sig"][1:] != entries["sig"][:-1])
+    entries = entries[np.concatenate([[True], fresh])] if len(entries) else entries
+    links = [np.zeros((0, 2), np.int64)]
+    while len(entries) > 1:
+        head = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])
+        first = np.maximum.accumulate(np.where(head, np.arange(len(entries)), 0))
+        agree = (entries["sketch"] == entries["sketch"][first]).sum(1) >= least
+        links.append(np.stack([entries["sig"][first], entries["sig"]], 1)[agree & ~head])
+        entries = entries[~agree & ~head]
+    return np.unique(np.concatenate(links), axis=0)
+
+
+def _links(table: DataFrame, bands: int, t: float) -> DataFrame:
+    """(a, b), a < b: signatures that share a band key and enough of their sketches."""
     spark = table.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * parts
+    entry = np.dtype([("key", "<u8"), ("sig", "<i8"), ("sketch", "u1", (bands,))])
+    least = max(1, int(bands * t - 4 * (bands * t * (1 - t)) ** 0.5))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = batch.column(0).to_numpy().view(np.uint64)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            pairs = np.stack([keys, np.repeat(sig, bands)], 1)
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            if not batch.num_rows:
+                continue
+            entries = np.empty(batch.num_rows * bands, entry)
+            entries["key"] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            entries["sig"] = np.repeat(batch.column(0).to_numpy(), bands)
+            entries["sketch"] = np.repeat(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, bands), bands, axis=0)
+            bucket = (entries["key"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            pairs, ends = pairs[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            entries, ends = entries[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             own = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([pairs[ends[k] : ends[k + 1]].tobytes() for k in own], pa.binary())], names=["bucket", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([entries[ends[k] : ends[k + 1]].tobytes() for k in own], pa.binary())], names=["bucket", "entries"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), np.uint64).reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        same = pairs[1:, 0] == pairs[:-1, 0]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(pairs) else np.zeros(0, bool)
-        pairs = pairs[shared]
-        sig = pairs[:, 1].view(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        order = np.lexsort((sig, pairs[:, 0])) if len(pairs) else np.zeros(0, np.int64)
-        key, sig = pairs[order, 0], sig[order]
-        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        least = sig[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else sig
-        link = np.unique(np.stack([least, sig], 1)[least != sig], axis=0) if len(key) else np.zeros((0, 2), np.int64)
+        link = _linked(np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), entry), least)
         yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), pa.array(link[:, 1])], names=["a", "b"])
 
-    scattered = table.select("sig", "keys").mapInArrow(scatter, "bucket int, pairs binary").repartition(parts, "bucket")
+    scattered = table.select("sig", "keys", "sketch").mapInArrow(scatter, "bucket int, entries binary").repartition(parts, "bucket")
     return scattered.mapInArrow(gather, "a long, b long").distinct()
 
 
@@ -229,9 +257,9 @@ def trie_join(sets: list[np.ndarray], t: float) -> list[tuple[int, int, int]]:
     return out
 
 
-def _blocks(docs: DataFrame, table: DataFrame, n: int, bands: int) -> DataFrame:
+def _blocks(docs: DataFrame, table: DataFrame, n: int, bands: int, t: float) -> DataFrame:
     """(block, sig, doc_id, grams) of the sets in blocks of two or more, a block's rows next to each other."""
-    roots = components(_links(table, bands))
+    roots = components(_links(table, bands, t))
     carriers = table.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(roots.toDF("sig", "block"), "sig")
     carriers = stored(carriers.select("block", F.col("sig").alias("want"), "doc_id"))
     few = carriers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -280,7 +308,7 @@ def join(docs: DataFrame, n: int = N, t: float = T, bands: int = BANDS, rows: in
                 a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.round(o / (sizes[i] + sizes[j] - o), 6))], names=["doc_id_a", "doc_id_b", "jaccard"])
 
-    near = _blocks(docs, table, n, bands).mapInArrow(pairs, "doc_id_a long, doc_id_b long, jaccard double").filter("doc_id_a < doc_id_b")
+    near = _blocks(docs, table, n, bands, t).mapInArrow(pairs, "doc_id_a long, doc_id_b long, jaccard double").filter("doc_id_a < doc_id_b")
     least = table.groupBy("sig").agg(F.min("doc_id").alias("doc_id_a"), F.count("*").alias("n")).filter("n > 1")
     copies = table.join(least, "sig").filter("doc_id > doc_id_a").select("doc_id_a", F.col("doc_id").alias("doc_id_b")).distinct().withColumn("jaccard", F.lit(1.0))
     return near.union(copies)
@@ -308,7 +336,7 @@ def dropped(docs: DataFrame, n: int = N, t: float = T, bands: int = BANDS, rows:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in own]), pa.array([ids[find(k)] for k in own])], names=["stands", "stays"])
 
-    joined = _blocks(docs, table, n, bands).mapInArrow(groups, "stands long, stays long")
+    joined = _blocks(docs, table, n, bands, t).mapInArrow(groups, "stands long, stays long")
     # a block's pairs never leave it, so its groups are final; a set's further documents go with their least one
     least = table.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
     copies = table.join(least, "sig").filter("doc_id > least").select("doc_id")

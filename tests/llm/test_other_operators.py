@@ -337,4 +337,4 @@ def test_pipeline_odd_rows(spark, small, odd):
             at = stored(stage(spark, at, small))
             assert name == corpus_pipeline.STAGES[-1][0] or at.columns == odd.columns
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
-    assert ngram_join.T == 0.6
+    assert ngram_join.T == 0.5
