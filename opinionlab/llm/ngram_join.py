@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .tables import stored
+from .tables import give_back, stored
 
 N, T, BANDS, ROWS = 3, 0.5, 36, 3
 #: Rows up to which the documents of blocks, or those to drop, are broadcast; beyond, tables are joined by key.
@@ -144,6 +144,7 @@ def _links(table: DataFrame, bands: int, t: float) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link = _linked(np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), entry), least)
         yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), pa.array(link[:, 1])], names=["a", "b"])
+        give_back()
 
     scattered = table.select("sig", "keys", "sketch").mapInArrow(scatter, "bucket int, entries binary").repartition(parts, "bucket")
     return scattered.mapInArrow(gather, "a long, b long").distinct()
@@ -293,6 +294,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], li
                 last = sig
     if len(ids) > 1:
         yield ids, sets
+    give_back()
 
 
 def join(docs: DataFrame, n: int = N, t: float = T, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

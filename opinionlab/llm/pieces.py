@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and neighbours that a worker remembers; beyond them nothing more is remembered.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -244,10 +246,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip): round_trip tells whether decoding the ids gives the text again."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = encoder(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # the ids of a thousand texts at a time
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):  # the ids of a few hundred texts at a time
+                part = batch.slice(at, 500)
                 texts = part.column(1).to_pylist()
                 packed = [b"" if t is None else own.encode(t) for t in texts]
                 sizes = np.array([len(p) // 4 for p in packed], np.int32)

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import shared_dir, stored
 
-__all__ = ["documents", "shared_dir", "stored"]
+__all__ = ["documents", "give_back", "shared_dir", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def give_back() -> None:
+    """Gives a worker's freed memory back to the system: workers are used again, by other operators too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
