@@ -116,12 +116,15 @@ def length_bucket(text: Column) -> Column:
 
 
 def _grams(text: Column, low: int, high: int) -> Column:
+    none = F.array().cast("array<string>")
+
     def of(own: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(own) - (n - 1))
-        return F.when(F.length(own) >= n, F.transform(starts, lambda i: F.substring(own, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        starts = F.sequence(F.lit(1), F.size(own) - (n - 1))
+        return F.when(F.size(own) >= n, F.transform(starts, lambda i: F.array_join(F.slice(own, i, F.lit(n)), ""))).otherwise(none)
 
-    # the text is bound to a variable of its own: an expression within a lambda is computed for each element
-    return F.element_at(F.transform(F.array(text), lambda own: F.concat(*(of(own, n) for n in range(low, high + 1)))), 1)
+    # split once, as a substring is sought from the text's start; bound to a variable of its own: an expression within a lambda is computed for each element
+    characters = F.when(F.length(text) > 0, F.split(text, "")).otherwise(none)
+    return F.element_at(F.transform(F.array(characters), lambda own: F.concat(*(of(own, n) for n in range(low, high + 1)))), 1)
 
 
 def topic_grams(text: Column) -> Column:
@@ -129,9 +132,10 @@ def topic_grams(text: Column) -> Column:
     return _grams(compact(F.regexp_replace(plain(text), rf"(?U)https?://{_NON}+", "")), 2, 4)
 
 
-def classifier_grams(text: Column, max_chars: int = 600) -> Column:
-    """character 1- and 2-grams of the first max_chars characters other than white space."""
-    return _grams(F.substring(compact(text), 1, max_chars), 1, 2)
+def classifier_grams(text: Column, max_chars: int | None = None) -> Column:
+    """character 1- and 2-grams without white space; of the first max_chars characters, if given."""
+    own = compact(text)
+    return _grams(own if max_chars is None else F.substring(own, 1, max_chars), 1, 2)
 
 
 def mask_audit(text: Column) -> Column:

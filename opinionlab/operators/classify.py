@@ -15,7 +15,7 @@ from ..functions import text
 from ..sources.tables import stored
 
 
-def gram_counts(df: DataFrame, key: str, body: str, max_chars: int = 600) -> DataFrame:
+def gram_counts(df: DataFrame, key: str, body: str, max_chars: int | None = None) -> DataFrame:
     """(key, gram, c)."""
     return df.select(key, F.explode(text.classifier_grams(F.col(body), max_chars)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
 
@@ -32,7 +32,7 @@ def label_grams(grams: DataFrame, labels: DataFrame, key: str, label: str, max_v
     return counts.withColumn("_p", place).filter(F.col("_p") <= max_vocab).drop("_p")
 
 
-def bayes(df: DataFrame, key: str, body: str, label: str, max_vocab: int = 3500, max_chars: int = 600, confidence: float = 0.6, margin: float = 0.15) -> DataFrame:
+def bayes(df: DataFrame, key: str, body: str, label: str, max_vocab: int = 3500, max_chars: int | None = None, confidence: float = 0.6, margin: float = 0.15) -> DataFrame:
     """M5, M6, M8: (key, predicted_label, predicted_confidence, top2_margin, needs_review, classifier_backend) of every row.
 
     Prior ln(n_l / N); a gram of the joint vocabulary of V grams counts
@@ -77,7 +77,7 @@ def needs_review(confidence: float = 0.6, margin: float = 0.15, score: str = "pr
     return (F.col(score) < confidence) | (F.col(distance) < margin)
 
 
-def regression(df: DataFrame, key: str, body: str, label: str, max_features: int = 60_000, max_chars: int = 600, confidence: float = 0.6, margin: float = 0.15, max_iter: int = 1000) -> DataFrame:
+def regression(df: DataFrame, key: str, body: str, label: str, max_features: int = 60_000, max_chars: int | None = None, confidence: float = 0.6, margin: float = 0.15, max_iter: int = 1000) -> DataFrame:
     """M7: logistic regression with balanced classes over TF-IDF of character 1- and 2-grams, fitted by Spark's own solver.
 
     The penalty 1 / n, without standardising, is that of C = 1 for weights that sum to n.

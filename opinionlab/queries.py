@@ -304,6 +304,15 @@ _TOK = f"t AS (SELECT doc_id, substr({q.compact('text')}, 1, 600) AS x FROM docu
 
 
 @query("char_ngrams_clf", f"WITH {_TOK} SELECT doc_id, gram, c FROM tok")
+def _(spark, d):  # F14
+    return classify.gram_counts(table(spark, d, "documents"), "doc_id", "text", 600)
+
+
+#: The same of whole texts.
+_TOK_WHOLE = _TOK.replace(f"substr({q.compact('text')}, 1, 600)", q.compact("text"))
+
+
+@query("char_ngrams_clf_whole", f"WITH {_TOK_WHOLE} SELECT doc_id, gram, c FROM tok")
 def _(spark, d):  # F14
     return classify.gram_counts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -585,7 +594,17 @@ def _labelled(spark, d):
 @query("nb_model_tokens", f"WITH {_MODEL} SELECT label, gram, n FROM model")
 def _(spark, d):  # A18, M5
     own = _labelled(spark, d)
-    return classify.label_grams(classify.gram_counts(own, "doc_id", "text"), classify.labelled(own, "label"), "doc_id", "label", 1000)
+    return classify.label_grams(classify.gram_counts(own, "doc_id", "text", 600), classify.labelled(own, "label"), "doc_id", "label", 1000)
+
+
+#: The same of whole texts with the operators' own number of grams a label.
+_MODEL_WHOLE = _MODEL.replace(_TOK, _TOK_WHOLE).replace("<= 1000)", "<= 3500)")
+
+
+@query("nb_model_tokens_whole", f"WITH {_MODEL_WHOLE} SELECT label, gram, n FROM model")
+def _(spark, d):  # A18, M5
+    own = _labelled(spark, d)
+    return classify.label_grams(classify.gram_counts(own, "doc_id", "text"), classify.labelled(own, "label"), "doc_id", "label")
 
 
 @query(
@@ -599,7 +618,12 @@ p AS (SELECT doc_id, max(label) FILTER (WHERE k = 1) AS predicted_label, round(m
 SELECT *, predicted_confidence < 0.6 OR top2_margin < 0.15 AS needs_review, 'fast-nb' AS classifier_backend FROM p""",
 )
 def _(spark, d):  # M6, M8, M9, W10, W13, J7
-    return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "nb", max_vocab=1000)
+    return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "nb", max_vocab=1000, max_chars=600)
+
+
+@query("nb_predict_whole", _SQL["nb_predict"].replace(_MODEL, _MODEL_WHOLE))
+def _(spark, d):  # M6, M8, M9, W10, W13, J7
+    return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "nb")
 
 
 @query("lr_predict")

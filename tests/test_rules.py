@@ -138,6 +138,13 @@ def test_bayes_by_hand(spark):
         classify.train_and_score(df.filter("id = 1"), "id", "t", "l", "nb")
 
 
+def test_grams_of_whole_texts(spark):
+    df = spark.createDataFrame([(1, "ab " * 400 + "z😀"), (2, ""), (3, None)], "id long, t string")
+    got = {(r["id"], r["gram"]): r["c"] for r in classify.gram_counts(df, "id", "t").collect()}
+    assert got == {(1, "a"): 400, (1, "b"): 400, (1, "ab"): 400, (1, "ba"): 399, (1, "bz"): 1, (1, "z"): 1, (1, "z😀"): 1, (1, "😀"): 1}
+    assert {r["gram"]: r["c"] for r in classify.gram_counts(df, "id", "t", 600).collect()} == {"a": 300, "b": 300, "ab": 300, "ba": 299}
+
+
 def test_regression_separates(spark):
     df = spark.createDataFrame([(k, "abab" if k % 2 else "cdcd", ("odd" if k % 2 else "even") if k < 20 else None) for k in range(24)], "id long, t string, l string")
     got = classify.train_and_score(df, "id", "t", "l", "auto", max_iter=30).collect()
