@@ -8,7 +8,8 @@ surrounding text with the candidate in it, less those without it, the
 compressor being primed with a dictionary of code and identifiers.  Words, names
 and placeholders are in the dictionary or the surroundings and cost little; keys
 and tokens cost nearly their entropy.  A candidate is reported if its novelty is
-at least ``least_bytes`` and at least ``least_share`` of its length.
+at least ``least_bytes`` and at least ``least_share`` of its length, or if that
+holds of its first HEAD characters; candidates have no greatest length.
 
 Positions count code points.  A candidate that overlaps an earlier reported one
 is left out.  The whole text is searched; surroundings are ``window`` characters
@@ -37,9 +38,10 @@ _VALUE = r"[A-Za-z0-9+/=_\-.~!@#$%^&*]"
 GENERATORS = {
     "private_key": r"(?P<s>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z))",
     "provider_key": r"(?<![A-Za-z0-9])(?P<s>(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|sk-[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{30,})(?![A-Za-z0-9])",
-    "assigned": rf"(?i:{_NAME})[\w\-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"'`]?(?P<s>{_VALUE}{{8,512}})",
-    "near_word": rf"(?i:\b{_NAME})\b[^\n]{{0,40}}?(?<![A-Za-z0-9+/_\-])(?P<s>(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{{20,512}}={{0,2}})",
+    "assigned": rf"(?i:{_NAME})[\w\-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"'`]?(?P<s>{_VALUE}{{8,}})",
+    "near_word": rf"(?i:\b{_NAME})\b[^\n]{{0,40}}?(?<![A-Za-z0-9+/_\-])(?P<s>(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{{20,}}={{0,2}})",
 }
+HEAD = 512
 _COMPILED = {k: re.compile(p) for k, p in GENERATORS.items()}
 #: Java's pattern for texts that can hold a candidate at all.
 SUSPECT = r"(?i:pass|pwd|secret|token|key|auth|bearer|credential|connection[_-]?string)|A(?:KI|SI|GP|ID|RO)A[A-Z0-9]{16}|gh[pousr]_|github_pat_|xox[abprs]-|AIza|sk-|[sr]k_|eyJ|glpat-|npm_"
@@ -80,8 +82,10 @@ def scan(text: str | None, least_bytes: int = 8, least_share: float = 0.42, wind
             if kind != "private_key":
                 end -= len(text[start:end]) - len(text[start:end].rstrip(".,;:!*&#$%@"))
             if end - start >= 8 and all(end <= a or start >= b for a, b, _, _ in found):
-                new = novelty(text, start, end, window)
-                if new >= least_bytes and new >= least_share * len(text[start:end].encode("utf-8", "replace")):
+                enough = lambda new, end: new >= least_bytes and new >= least_share * len(text[start:end].encode("utf-8", "replace"))  # noqa: B023, E731
+                new, head = novelty(text, start, end, window), start + HEAD
+                # a dull end doesn't hide a long candidate
+                if enough(new, end) or end > head and enough(novelty(text, start, head, window), head):
                     found.append((start, end, kind, new))
     return sorted(found)
 

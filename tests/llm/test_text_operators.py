@@ -139,6 +139,18 @@ def test_no_secret(text):
     assert secrets.scan(text) == []
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(3)
+    one, other = ("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1600)) for _ in range(2))
+    values = [one, one[:512] + other, one[:512] + "a" * 3000]
+    texts = [f'{before}{v}" and more' for v in values for before in ('secret_key = "', "the token we use is ")]
+    for text, v in zip(texts, [v for v in values for _ in range(2)], strict=True):
+        assert [text[a:b] for a, b, _, _ in secrets.scan(text)] == [v]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r["digest"] for r in secrets.scan_secrets(docs).collect()}) == 3
+    assert all(len(r["text"]) < 60 for r in secrets.redact(docs).collect())
+
+
 def test_secrets_in_documents(docs):
     pattern = re.compile(r'(AKIA[A-Z0-9]{16})|token = "([0-9a-f]{40})"|password=([0-9a-f]{18})')
     texts = dict(docs.select("doc_id", "text").collect())
