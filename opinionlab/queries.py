@@ -628,7 +628,7 @@ def _(spark, d):  # M6, M8, M9, W10, W13, J7
 
 @query("lr_predict")
 def _(spark, d):  # M7; tests hold it against the objective's gradient
-    return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "lr", max_features=2000, max_iter=20)
+    return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "lr")
 
 
 @query("needs_review", f"SELECT doc_id, coalesce(predicted_confidence < 0.6 OR top2_margin < 0.15, false) AS needs_review FROM {S}")
@@ -689,13 +689,25 @@ def _(spark, d):  # N10
 @query("topics_kmeans")
 def _(spark, d):  # M2
     own, _, vecs = _vectors(spark, d)
-    return topics.kmeans(own, vecs, "id", 4, stored, iterations=6).select("id", "topic", F.round("distance", 4).alias("distance"))
+    return topics.kmeans(own, vecs, "id", 4, stored).select("id", "topic", F.round("distance", 4).alias("distance"))
+
+
+@query("topic_summary_whole")
+def _(spark, d):  # M4, N10, of the clustering and not its first round
+    own, _, vecs = _vectors(spark, d)
+    return topics.summary(own, vecs, topics.choose_k(own, vecs, "id", stored)[1], "id", "text").drop("examples")
+
+
+@query("topic_examples_whole")
+def _(spark, d):  # N10
+    own, _, vecs = _vectors(spark, d)
+    return topics.nearest(topics.choose_k(own, vecs, "id", stored)[1], "id")
 
 
 @query("choose_k")
 def _(spark, d):  # M3
     own, _, vecs = _vectors(spark, d)
-    k, _, tried = topics.choose_k(own, vecs, "id", stored, ks=(3, 4, 5), iterations=3)
+    k, _, tried = topics.choose_k(own, vecs, "id", stored)
     return spark.createDataFrame([(a, round(s, 4), a == k) for a, s in tried] or [(k, None, True)], "k long, score double, chosen boolean")
 
 

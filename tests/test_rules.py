@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from opinionlab import queries
 from opinionlab.functions import scalar, text
 from opinionlab.operators import classify, labels, prepare, profile, reports, rows, sampling, topics
 from opinionlab.plans import gates, table_pipeline
@@ -164,6 +165,16 @@ def test_kmeans_groups(spark):
     assert own[4] == own[5] == -1 and own[1] == own[2] != own[3]
 
 
+def test_queries_do_the_operators_whole_job(spark, small, monkeypatch):
+    assert [r["k"] for r in queries.queries()["choose_k"](spark, small).orderBy("k").collect()] == list(range(3, 10))
+    given = []
+    monkeypatch.setattr(classify, "regression", lambda df, *args, **how: given.append(how) or df)
+    monkeypatch.setattr(topics, "kmeans", lambda df, vecs, *args, **how: given.append(how) or df.selectExpr("id", "0L AS topic", "0D AS distance"))
+    for name in ("lr_predict", "topics_kmeans"):
+        queries.queries()[name](spark, small)
+    assert given == [{}, {}]
+
+
 def test_convergence(spark):
     own = [(k, "a" if k % 2 else "b", 0.9) for k in range(60)]
     now = spark.createDataFrame(own, "id long, predicted_label string, predicted_confidence double")
