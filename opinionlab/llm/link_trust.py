@@ -27,6 +27,8 @@ columns besides page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ _TOPS = ("com", "net", "org")
 BLOCKED = tuple(f"{name}.example.{top}" for name in ("cheap-pills", "adult-x", "free-bets", "casino-win", "spam-farm", "ads-track") for top in _TOPS)
 TRUSTED = tuple(f"{name}.example.{top}" for name in ("ththth", "thther", "ththon", "ththan") for top in _TOPS)
 ITERATIONS, DAMPING, THRESHOLD, SITE_LABELS = 8, 0.85, 0.05, 3
+#: Of filter_urls_settled: the least part from blocked seeds, and the change at which scores are settled.
+SHARE, TOLERANCE = 0.5, 1e-4
 _HOST = r"^(?i:https?:)?//(?:[^/?#@]*@)?([A-Za-z0-9.-]+)"
 _LINK = r"(?i)\b(?:href|src|action)\s*=\s*[\"']?((?:https?:)?//[^\s\"'<>]+)"
 
@@ -83,6 +87,10 @@ def filter_urls(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: t
     """(page_id, host, trust, distrust, kept) of each page, scores rounded to 6 digits."""
     pages = pages.select("page_id", "url", "html")
     scores = stored(propagate(stored(host_edges(pages, site_labels)), trusted, blocked, iterations, damping))
+    return _followed(pages, scores, blocked, threshold)
+
+
+def _followed(pages: DataFrame, scores: DataFrame, blocked: tuple[str, ...], threshold: float) -> DataFrame:
     # the optimiser broadcasts the hosts' scores where their size allows, and joins by host where it doesn't
     own = pages.select("page_id", host(F.col("url")).alias("host")).join(scores, "host", "left")
     trust, distrust = (F.round(F.coalesce(F.col(c), F.lit(0.0)), 6) for c in ("trust", "distrust"))
@@ -91,6 +99,45 @@ def filter_urls(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: t
     return own.withColumn("kept", F.col("host").isNotNull() & ~seed & ~((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))))
 
 
+def settled(edges: DataFrame, trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = DAMPING, cut: int = 4, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust): the parts of what a host receives, were every host a seed, that come from the trusted and the blocked seeds; seeds have 1.
+
+    Both are from 0 to 1 for any number of hosts and links.  Iterates until no kind of score moves by more than tolerance of its seeds' restart within ``cut`` iterations.
+    """
+    spark = edges.sparkSession
+    ways = edges.select(F.lit(0).alias("way"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").union(edges.select(F.lit(1), "dst", "src", "weight"))
+    total = ways.groupBy("way", "host").agg(F.sum("weight").alias("total"))
+    ways = stored(ways.join(total, ["way", "host"]).select("way", "host", "to", (F.col("weight") / F.col("total")).alias("part")))
+    own = [(way, h) for way, own in ((0, trusted), (1, blocked)) for h in sorted({x.lower() for x in own})]
+    own = spark.createDataFrame(own, "way int, host string").withColumn("seed", F.lit(1 - damping))
+    every = ways.select(F.col("host").alias("h")).union(ways.select("to")).union(own.select("host")).distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.col("h").alias("host"))
+    # own: from the seeds; whole: from all hosts
+    seeds = stored(every.join(own, ["way", "host"], "left").select("way", "host", F.coalesce("seed", F.lit(0.0)).alias("own"), F.lit(1 - damping).alias("whole")))
+    scores = old = seeds
+    for k in itertools.count(1):
+        part = lambda c: F.sum(damping * F.col(c) * F.col("part")).alias(c)
+        moved = scores.join(ways, ["way", "host"]).groupBy("way", F.col("to").alias("host")).agg(part("own"), part("whole"))
+        scores = moved.union(seeds.select("way", "host", "own", "whole")).groupBy("way", "host").agg(F.sum("own").alias("own"), F.sum("whole").alias("whole"))
+        if k % cut == 0:
+            scores = stored(scores)
+            change = lambda c: F.sum(F.abs(F.col(c) - F.col(f"old_{c}"))) > tolerance * F.sum(F.col(f"seed_{c}"))
+            named = lambda df, x: df.select("way", "host", F.col("own").alias(f"{x}_own"), F.col("whole").alias(f"{x}_whole"))
+            both = scores.join(named(old, "old"), ["way", "host"]).join(named(seeds, "seed"), ["way", "host"])
+            if not both.groupBy("way").agg((change("own") | change("whole")).alias("moves")).filter("moves").count():
+                break
+            old = scores
+    received = scores.join(seeds.select("way", "host", F.col("own").alias("seed")), ["way", "host"])
+    share = F.when(F.col("seed") > 0, 1.0).when(F.col("whole") - (1 - damping) > 1e-12, F.col("own") / (F.col("whole") - (1 - damping))).otherwise(0.0)
+    of = lambda way: F.max(F.when(F.col("way") == way, share)).alias("trust" if way == 0 else "distrust")
+    return received.groupBy("host").agg(of(0), of(1))
+
+
+def filter_urls_settled(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, damping: float = DAMPING, threshold: float = SHARE, site_labels: int = SITE_LABELS, tolerance: float = TOLERANCE) -> DataFrame:
+    """filter_urls with the parts of ``settled``, whose threshold blocks any number of hosts."""
+    pages = pages.select("page_id", "url", "html")
+    return _followed(pages, stored(settled(stored(host_edges(pages, site_labels)), trusted, blocked, damping, tolerance=tolerance)), blocked, threshold)
+
+
 def _sql() -> str:
     # in DuckDB's dialect
     host_of = lambda x: f"nullif(regexp_replace(lower(regexp_extract({x}, '^(?:(?i:https?):)?//(?:[^/?#@]*@)?([A-Za-z0-9.-]+)', 1)), '^\\.+|\\.+$', '', 'g'), '')"

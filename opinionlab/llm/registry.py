@@ -29,5 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Beside the operators' queries, where those are held to their SQL."""
+    return {"op1_link_trust_settled": lambda s, d: link_trust.filter_urls_settled(s.read.parquet(f"{d}/pages.parquet"))}
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_link_trust_url_filter": link_trust.SQL, "op2_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k": topk.SQL, "op7_imatch_fingerprints": imatch.SQL}

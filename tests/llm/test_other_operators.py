@@ -62,6 +62,13 @@ def test_links_by_force(spark):
         assert got[k]["kept"] == (h not in blocked and not (round(b, 6) >= 0.05 and round(b, 6) > round(a, 6)))
 
 
+def test_links_block_however_many(spark):
+    pages = [(k, f"https://h{k}.org/", '<a href="https://bad.org/">x</a>') for k in range(500)] + [(500, "https://fine.org/", '<a href="https://good.org/">x</a>')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in link_trust.filter_urls_settled(df, ("good.org",), ("bad.org",)).collect()}
+    assert [k for k, r in got.items() if r["kept"]] == [500] and all(got[k]["distrust"] == 1 for k in range(500))
+
+
 def test_links_odd_rows(spark):
     rows = [(None, None, None), (1, None, "<a href='http://x.org'>"), (2, "not a url", "x"), (3, "HTTP://u@A.example.COM:8080/x", None), (4, "https://cheap-pills.example.com", ""), (4, "https://cheap-pills.example.com", ""), (5, "//www.cheap-pills.example.com/y", '<a href=//cheap-pills.example.com>z')]
     df = spark.createDataFrame([(*r, "t", "s") for r in rows], "page_id long, url string, html string, trust string, host string")
