@@ -44,8 +44,8 @@ _GENERATORS = {
     "national": re.compile(r"(?<![\w\-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w\-])"),
     "account": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
 }
-#: Java's pattern for texts that can hold a span at all.
-SUSPECT = r"@|[0-9][0-9\s().\-/]{5}|[0-9]{1,4}\.[0-9]{1,4}\.|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|[A-Z]{2}[0-9]{2}"
+#: Java's pattern for texts that can hold a span at all: nothing narrower than what the generators match, so Unicode's digits and white space.
+SUSPECT = r"(?U)@|\d[\d\s\x1c-\x1f().\-/]{5}|\d{1,4}\.\d{1,4}\.|:[0-9A-Fa-f]{0,4}:|[A-Z]{2}\d{2}"
 _WORDS = {
     "email": r"e-?mail|mail|contact|write|reach|address|correo|courriel|kontakt",
     "ip": r"\bip\b|address|host|server|client|login|network|connect|from",

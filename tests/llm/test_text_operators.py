@@ -196,6 +196,13 @@ def test_pii_by_force(odd, none, docs):
     assert out.columns == docs.columns and pii.find_pii(out).count() == 0 and pii.redact(odd).columns == odd.columns
 
 
+def test_pii_suspects_what_generators_match(spark):
+    texts = [f"+33{x}6{x}12{x}34{x}56{x}78" for x in ("\u00a0", "\u2009", "\u202f", " ", "\x1f")] + ["::ffff:1", "٠١٢٣٤٥٦٧٨٩"]
+    assert all(any(p.search(t) for p in pii._GENERATORS.values()) for t in texts)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.filter(df["text"].rlike(pii.SUSPECT)).count() == len(texts)
+
+
 def test_calibration_is_monotone():
     rng = np.random.default_rng(0)
     score = rng.normal(size=500)
