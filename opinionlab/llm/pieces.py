@@ -14,26 +14,35 @@ best entry of that position.
 
 Text is cut only where no piece can span: before each "▁" that follows another
 character (checked when the model is read) and around characters that occur in
-no piece.  Encodings of words are remembered by each worker.
+no piece.  Of a few megabytes of texts the distinct words are encoded once, all
+of them in step, a character at a time: one table of transitions (the
+automaton's, with its failure links resolved) and one round for each output
+link.  Words of over ``LONGEST`` characters, or with characters outside the
+table's ``CLASSES`` commonest, go through the same pass one by one.  Nothing
+about words outlives its batch.
 
 Defined results: a null text has null ids, n_ids 0 and null round_trip; an empty
-text has no ids; characters outside the vocabulary become byte pieces, or the
-unknown id (one for a run of them) where the model has none; a text with U+2581
-decodes to spaces there, so its round_trip is false; a null doc_id stays null;
-repeated rows give repeated rows; an empty table gives an empty result; columns
-besides doc_id and text are ignored.
+text has no ids; texts of any length are encoded whole, a run without a cut as
+one word; characters outside the vocabulary become byte pieces, or the unknown
+id (one for a run of them) where the model has none; where unigram sums are
+equal, the piece that ends first in the automaton's order, the longest, stays; a
+text with U+2581 decodes to spaces there, so its round_trip is false; a null
+doc_id stays null; repeated rows give repeated rows; an empty table gives an
+empty result; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +50,10 @@ from .tables import give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words and neighbours that a worker remembers; beyond them nothing more is remembered.
-REMEMBERED = 400_000
+#: Of the words taken one by one, and of neighbours met there, what a worker remembers; beyond them nothing more is.
+REMEMBERED = 50_000
+#: Characters of words taken in step, columns of the table of transitions, words in a step, bytes of texts in a batch.
+LONGEST, CLASSES, IN_STEP, BATCH = 48, 160, 40_000, 8 << 20
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -115,10 +126,14 @@ class Encoder:
         spans = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         alone = "".join(c for c in "\n\r\t" if c not in self.letters)
         self.cut = None if spans else re.compile(f"[{re.escape(alone)}]|{SPACE}+[^{SPACE}{re.escape(alone)}]*|[^{SPACE}{re.escape(alone)}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.alone = [ord(c) for c in alone]
         self.words: dict[str, bytes] = {}
         self.agreed: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.table: Table | None = None
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.decoded = [b"" if k not in (_NORMAL, _USER, _BYTE, _UNKNOWN) else bytes([int(p[1:-1], 16)]) if k == _BYTE else " ⁇ ".encode() if k == _UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.spelled, self.widths = pa.array(self.decoded, pa.large_binary()), np.array([len(x) for x in self.decoded], np.int64)
 
     def merged(self, text: str) -> list[int]:
         """BPE by its definition: merge the neighbours whose joined text has the best score, the leftmost first."""
@@ -131,12 +146,48 @@ class Encoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [self.ids.get(p, -1) for p in parts]
 
+    def _halves(self, i: int) -> tuple[int, int] | None:
+        """The two pieces that merging joins last to piece i, (-1, -1) for a character, None where merging its text gives others."""
+        if i not in self.halves:
+            parts, two = [*self.pieces[i]], (-1, -1)
+            while len(parts) > 1:
+                best = max(((self.scores[x], -k) for k in range(len(parts) - 1) if (x := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
+                if best is None:
+                    break
+                k = -best[1]
+                two = self.ids.get(parts[k], -1), self.ids.get(parts[k + 1], -1)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            self.halves[i] = two if len(parts) == 1 and (len(self.pieces[i]) == 1 or min(two) >= 0) else None
+        return self.halves[i]
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether merging the joined text of two pieces gives these two; with nothing before it (left unknown), whether it gives the one.
+
+        Both are taken apart again, the one merged last first.  They are not
+        what merging gives if a merge across their border would have come before.
+        """
+        if left == self.unknown:
+            return self._halves(right) is not None
+        if self._halves(left) is None or self._halves(right) is None:
+            return False
+        limit, strict = -np.inf, True  # a merge across the border comes first if its score is above limit, or equal where not strict
+        while True:
+            across = self.ids.get(self.pieces[left] + self.pieces[right])
+            if across is not None and (self.scores[across] > limit or not strict and self.scores[across] == limit):
+                return False
+            l, r = self._halves(left), self._halves(right)
+            if l[0] < 0 and r[0] < 0:
+                return True
+            if r[0] < 0 or l[0] >= 0 and self.scores[left] < self.scores[right]:
+                limit, strict, left = self.scores[left], True, l[1]
+            else:
+                limit, strict, right = self.scores[right], False, r[0]
+
     def _agree(self, left: int, right: int) -> bool:
         key = left * len(self.pieces) + right
         known = self.agreed.get(key)
         if known is None:
-            own = [right] if left == self.unknown else [left, right]
-            known = self.merged("".join(self.pieces[i] for i in own)) == own
+            known = self.neighbours(left, right)
             if len(self.agreed) < REMEMBERED:
                 self.agreed[key] = known
         return known
@@ -221,11 +272,214 @@ class Encoder:
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self._pack, self.cut.findall(text))) if self.cut else self._pack(text)
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text i, null or empty ones included, has ids[bounds[i]:bounds[i + 1]]."""
+        plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(plain):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        odd = pc.match_substring(plain, SPACE).to_numpy(False) if self.cut and self.dummy_prefix and self.bytes else np.ones(len(plain), bool)
+        odd &= (pc.binary_length(plain).to_numpy(False) > 0)
+        given = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), plain) if odd.any() else plain
+        ids, bounds = self._in_step(given)
+        if not odd.any():
+            return ids, bounds
+        own = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd).tolist():
+            own[k] = np.frombuffer(self.encode(plain[k].as_py()), np.int32)
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+    def _in_step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        full = pc.binary_length(texts).to_numpy(False) > 0
+        none = np.zeros(len(texts) + 1, np.int64)
+        if not full.any():
+            return np.zeros(0, np.int32), none
+        texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.filter(pa.array(full)), pa.scalar("", pa.large_string()))
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        space, cut = data == 32, np.zeros(len(data), bool)
+        for c in self.alone:
+            cut |= data == c
+        cut[1:] |= cut[:-1].copy()
+        cut[1:] |= space[1:] & ~space[:-1]
+        cut[ends[:-1]] = True
+        begin = np.append(np.flatnonzero(cut), len(data))
+        runs = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        ids, bounds = self._distinct(runs.dictionary)
+        code = runs.indices.to_numpy()
+        size = np.diff(bounds)[code]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(bounds[:-1][code] - upto[:-1], size) + np.arange(upto[-1])]
+        none[1:][full] = np.diff(upto[np.searchsorted(begin, ends)])
+        return flat, np.cumsum(none)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of distinct words, spaces standing for "▁"."""
+        if self.table is None:
+            self.table = Table(self)
+        table = self.table
+        size = pc.utf8_length(words).to_numpy(False).astype(np.int64)
+        letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        kind = table.kind_of[np.minimum(letters, len(table.kind_of) - 1)]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        usual = (size <= LONGEST) & (np.add.reduceat(kind < 0, begin[:-1]) == 0)
+        own, count = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+        at = np.flatnonzero(usual)
+        at = at[np.argsort(size[at], kind="stable")]
+        for k in range(0, len(at), IN_STEP):
+            part = at[k : k + IN_STEP]
+            ids, count[part] = table.viterbi(kind, begin[part], size[part])
+            own.append(ids)
+        rest = np.flatnonzero(~usual)
+        for k, word in zip(rest.tolist(), words.take(pa.array(rest)).to_pylist(), strict=True):
+            own.append(np.frombuffer(self._pack(word.replace(" ", SPACE)), np.int32))
+            count[k] = len(own[-1])
+        order = np.concatenate([at, rest])
+        flat, upto = np.concatenate(own), np.concatenate([[0], np.cumsum(count[order])])
+        first = np.zeros(len(words), np.int64)
+        first[order] = upto[:-1]
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        return flat[np.repeat(first - bounds[:-1], count) + np.arange(bounds[-1])], bounds
+
+    def same(self, texts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether each text is what its ids decode to."""
+        plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = self.widths[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])[bounds]
+        back = pc.take(self.spelled, pa.array(ids)).buffers()[2]
+        back = np.frombuffer(back, np.uint8)[: upto[-1]] if back is not None else np.zeros(0, np.uint8)
+        ends = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+        data = np.frombuffer(plain.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        lead = (np.diff(upto) > 0).astype(np.int64) * self.dummy_prefix
+        fits = np.diff(upto) == np.diff(ends) + lead
+        width = np.where(fits, np.diff(ends), 0)
+        where = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        wrong = back[np.repeat(upto[:-1] + lead, width) + where] != data[np.repeat(ends[:-1], width) + where]
+        bad = np.concatenate([[0], np.cumsum(wrong)])[np.concatenate([[0], np.cumsum(width)])]
+        begins = np.ones(len(fits), bool)
+        begins[lead > 0] = back[upto[:-1][lead > 0]] == 32
+        return fits & (np.diff(bad) == 0) & begins
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+class Table:
+    """The automaton as arrays, for many words in step."""
+
+    def __init__(self, own: Encoder) -> None:
+        self.own, self.size, self.bpe = own, len(own.pieces), own.mode == BPE
+        uses: Counter = Counter(c for p in own.ids for c in set(p) if c in own.single)
+        uses[SPACE] = len(own.ids) if SPACE in own.single else 0
+        kinds = {c: k for k, (c, n) in enumerate(uses.most_common(CLASSES)) if n and ord(c) < 0x3000}
+        self.kind_of = np.full(0x3001, -1, np.int16)
+        for c, k in kinds.items():
+            self.kind_of[ord(c)] = k
+        if SPACE in kinds:
+            self.kind_of[32], self.kind_of[ord(SPACE)] = kinds[SPACE], -1
+        children: list[dict[int, int]] = [{}]
+        piece = [-1]
+        for p, i in own.ids.items():
+            if all(c in kinds for c in p):
+                at = 0
+                for c in p:
+                    at = children[at].get(kinds[c]) or self._grow(children, piece, at, kinds[c])
+                piece[at] = i
+        self.step = np.zeros((len(children), len(kinds)), np.int32)
+        self.piece, self.link = np.array(piece, np.int32), np.zeros(len(children), np.int32)  # link: the next shorter suffix that is a piece, 0: none
+        fail, queue = [0] * len(children), []
+        for c, x in children[0].items():
+            self.step[0, c] = x
+            queue.append(x)
+        for at in queue:
+            back = fail[at]
+            self.link[at] = back if piece[back] >= 0 else self.link[back]
+            self.step[at] = self.step[back]
+            for c, x in children[at].items():
+                fail[x] = int(self.step[back, c])
+                self.step[at, c] = x
+                queue.append(x)
+        self.length, self.scores = np.array([len(p) for p in own.pieces], np.int64), np.array(own.scores, np.float64)
+        # neighbours known to agree or not, by two hashes of left * size + right
+        self.bits = 20
+        self.keys, self.answers = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, bool)
+
+    @staticmethod
+    def _grow(children: list[dict[int, int]], piece: list[int], at: int, c: int) -> int:
+        children[at][c] = new = len(piece)
+        children.append({})
+        piece.append(-1)
+        return new
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(((keys.astype(np.uint64) * np.uint64(m)) >> np.uint64(64 - self.bits)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+    def agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) * self.size + right
+        one, two = self._slots(keys)
+        in_one, in_two = self.keys[one] == keys, self.keys[two] == keys
+        out = np.where(in_one, self.answers[one], self.answers[two])
+        lost = np.flatnonzero(~in_one & ~in_two)
+        if len(lost):
+            new, back = np.unique(keys[lost], return_inverse=True)
+            answers = np.array([self.own.neighbours(k // self.size, k % self.size) for k in new.tolist()], bool)
+            out[lost] = answers[back]
+            one, two = self._slots(new)
+            slot = np.where(self.keys[one] < 0, one, two)
+            # of new keys for one slot the last is kept, key and answer alike
+            self.keys[slot] = new
+            self.answers[slot] = answers
+        return out
+
+    def viterbi(self, kind: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word's) of words sorted by size, which are runs of kind."""
+        n, most = len(size), int(size[-1])
+        last, back = np.full((most + 1, n), self.own.unknown, np.int32), np.zeros((most + 1, n), np.int16)
+        best = np.full((most + 1, n), -np.inf)
+        best[0] = 0.0  # for BPE: 0 where reached
+        state = np.zeros(n, np.int32)
+        for end in range(1, most + 1):
+            first = int(np.searchsorted(size, end))
+            word = np.arange(first, n)
+            state = state[len(state) - len(word) :]
+            state = self.step[state, kind[begin[first:] + end - 1]]
+            at = np.where(self.piece[state] >= 0, state, self.link[state])
+            while True:
+                live = at > 0
+                if not live.all():
+                    word, at = word[live], at[live]
+                if not len(word):
+                    break
+                piece = self.piece[at]
+                start = end - self.length[piece]
+                before = best[start, word]
+                if self.bpe:
+                    good = before == 0
+                    good[good] = self.agree(last[start[good], word[good]], piece[good])
+                    value = np.zeros(len(word))
+                else:
+                    value = before + self.scores[piece]
+                    good = value > best[end, word]
+                won = word[good]
+                last[end, won], back[end, won], best[end, won] = piece[good], start[good], value[good]
+                at = self.link[at]
+        # back from the ends
+        out, word, at = [], np.arange(n), size.astype(np.int64)
+        count = np.zeros(n, np.int64)
+        while len(word):
+            out.append((word, last[at, word]))
+            count[word] += 1
+            at = back[at, word].astype(np.int64)
+            word, at = word[at > 0], at[at > 0]
+        upto = np.cumsum(count)
+        ids = np.empty(int(upto[-1]), np.int32)
+        for k, (word, piece) in enumerate(out):
+            ids[upto[word] - 1 - k] = piece
+        return ids, count
+
+
 def _split(text: str, ids: list[int], pieces: list[str]) -> list[str]:
     out, at = [], 0
     for i in ids:
@@ -242,25 +496,30 @@ def encoder(path: str) -> Encoder:
         return Encoder(f.read())
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BATCH bytes of a column of texts, one row at least."""
+    for batch in batches:
+        upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False).astype(np.int64))])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + BATCH, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip): round_trip tells whether decoding the ids gives the text again."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         own = encoder(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # the ids of a few hundred texts at a time
-                part = batch.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                packed = [b"" if t is None else own.encode(t) for t in texts]
-                sizes = np.array([len(p) // 4 for p in packed], np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                null = pa.array([t is None for t in texts])
-                values = np.frombuffer(b"".join(packed), np.int32)
-                ids = pa.ListArray.from_arrays(offsets, pa.array(values), mask=null) if len(texts) else pa.array([], pa.list_(pa.int32()))
-                flat, ends = values.tolist(), np.cumsum(sizes).tolist()
-                same = [None if t is None else own.decode(flat[e - k : e]) == t for t, e, k in zip(texts, ends, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
+        for part in parts(batches, 1):
+            texts = part.column(1)
+            ids, bounds = own.encode_batch(texts)
+            null = np.array(texts.is_null())
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), mask=pa.array(null)) if len(texts) else pa.array([], pa.list_(pa.int32()))
+            same = pa.array(own.same(texts, ids, bounds), mask=null)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists, pa.array(np.diff(bounds)), same], names=["doc_id", "ids", "n_ids", "round_trip"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
