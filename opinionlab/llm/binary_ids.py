@@ -1,7 +1,7 @@
 """Operator 9, token ids as binary: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-Texts are encoded by a public vocabulary (operator 10's model file; its library
-encodes the words a worker has not met yet).  Ids are counted over all
+Texts are encoded by a public vocabulary (operator 10's model file, by operator
+10).  Ids are counted over all
 documents and ranked, the commonest first, ties by id; the vocabulary is fixed,
 so the ranking has at most as many rows as it has pieces.  A document's ranks
 are written with one to four bytes each, least significant first; two bits for
@@ -12,7 +12,8 @@ them to offsets and gathers the data bytes, without a loop over tokens.
 Texts are encoded once: their raw ids are written to the shared folder, counted
 there and recoded from there.
 
-Defined results: a null text has null control and data and n_tokens 0, an empty
+Defined results: texts are coded whole, however long; of ids that are equally
+common the lesser one gets the lower rank; a null text has null control and data and n_tokens 0, an empty
 text empty ones; a null doc_id stays null; repeated rows give repeated rows; an
 empty table gives an empty result and no ranks; columns besides doc_id and text
 are ignored.
@@ -28,55 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .tables import stored
+from .tables import give_back, stored
 
 #: The byte lengths of the four values under each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-_remembered: dict[str, bytes] = {}
-_REMEMBERED = 500_000
-_processor: dict = {}
-
-
-def _raw(texts: list[str | None], model: str) -> list[bytes | None]:
-    """Packed int32 ids; words are encoded once for each worker."""
-    import sentencepiece
-
-    if model not in _processor:
-        _processor[model] = sentencepiece.SentencePieceProcessor(model_file=model)
-        _remembered.clear()
-    library, own, known = _processor[model], pieces.encoder(model), _remembered
-    plain = own.cut is not None and own.dummy_prefix and "\n" not in own.letters and bool(own.bytes)
-    lines, rest = [], []
-    for k, t in enumerate(texts):
-        if t is None:
-            lines.append(None)
-        elif plain and t and t[0] != " " and "  " not in t and pieces.SPACE not in t and "\n " not in t:
-            lines.append(t.replace("\n", " \n").split(" "))
-        else:
-            lines.append(None)
-            rest.append(k)
-    # a word's ids are those of its text with the dummy prefix; after a line break there is none
-    fresh = [w for w in dict.fromkeys(w for ws in lines if ws for w in ws) if w not in known]
-    usual = [w for w in fresh if not w.startswith("\n")]
-    pack = lambda ids: np.array(ids, np.int32).tobytes()
-    extra: dict[str, bytes] = {w: pack(ids) for w, ids in zip(usual, library.encode(usual, num_threads=1), strict=True)} if usual else {}
-    extra[""] = pack([own.ids[pieces.SPACE]])
-    for w in fresh:
-        if w.startswith("\n"):
-            extra[w] = own._pieces(w)
-    if len(known) < _REMEMBERED:
-        known.update(extra)
-        extra = known
-    else:
-        extra = {w: known.get(w) or extra[w] for w in {w for ws in lines if ws for w in ws}}
-    out: list[bytes | None] = [None if ws is None else b"".join(map(extra.__getitem__, ws)) for ws in lines]
-    for k in rest:
-        out[k] = pack(library.encode(texts[k])) if texts[k] else b""
-    return out
 
 
-def compress(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Control and data bytes of consecutive runs of values (sizes[i] each)."""
+def _binaries(data: np.ndarray, bounds: np.ndarray, null: np.ndarray) -> pa.Array:
+    """data[bounds[i]:bounds[i + 1]] as binary i, null where said."""
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(null), [valid, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(int32 values, bounds) of a column of packed ids; a null has none."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2] if len(column) else None
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(np.int32) if data is not None and bounds[-1] > bounds[0] else np.zeros(0, np.int32), (bounds - bounds[0]) // 4
+
+
+def _coded(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(control, its bounds, data, its bounds) of consecutive runs of values (sizes[i] each)."""
     values = values.astype(np.uint32)
     length = 1 + (values >= 1 << 8).astype(np.int64) + (values >= 1 << 16) + (values >= 1 << 24)
     ends = np.concatenate([[0], np.cumsum(length)])
@@ -89,9 +62,15 @@ def compress(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[b
     codes = np.zeros(int(groups.sum()) * 4, np.uint8)
     codes[np.arange(len(values)) + np.repeat(first * 4 - begin, sizes)] = length - 1
     codes = codes.reshape(-1, 4)
-    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes()
-    flat = data.tobytes()
-    return [control[a : a + n] for a, n in zip(first.tolist(), groups.tolist(), strict=True)], [flat[ends[a] : ends[a + n]] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    return control.astype(np.uint8), np.append(first, len(control)), data, ends[np.append(begin, len(values))]
+
+
+def compress(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of consecutive runs of values (sizes[i] each)."""
+    control, by_control, data, by_data = _coded(values, sizes)
+    cut = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return cut(control, by_control), cut(data, by_data)
 
 
 def expand(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -109,10 +88,11 @@ def token_ids(docs: DataFrame, model: str = pieces.MODEL) -> DataFrame:
     """(doc_id, raw): packed int32 ids of each text, null for a null text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(_raw(part.column(1).to_pylist(), model), pa.binary())], names=["doc_id", "raw"])
+        own = pieces.encoder(model)
+        for part in pieces.parts(batches, 1):
+            ids, bounds = own.encode_batch(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _binaries(ids.astype(np.int32).view(np.uint8), bounds * 4, np.array(part.column(1).is_null()))], names=["doc_id", "raw"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, raw binary")
 
@@ -123,7 +103,7 @@ def ranks(raw: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x), np.int32))
+            n = np.bincount(_values(batch.column(0))[0])
             if len(n) > len(total):
                 n[: len(total)] += total
                 total = n
@@ -149,11 +129,10 @@ def write_binary(docs: DataFrame, model: str = pieces.MODEL) -> tuple[DataFrame,
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                own = part.column(1).to_pylist()
-                sizes = np.array([len(x) // 4 if x else 0 for x in own], np.int64)
-                control, data = compress(rank_of[np.frombuffer(b"".join(x for x in own if x), np.int32)], sizes)
-                null = [x is None for x in own]
-                columns = [pa.array([None if no else b for no, b in zip(null, c, strict=True)], pa.binary()) for c in (control, data)]
+                values, bounds = _values(part.column(1))
+                sizes, null = np.diff(bounds), np.array(part.column(1).is_null())
+                control, by_control, data, by_data = _coded(rank_of[values], sizes)
+                columns = [_binaries(control, by_control, null), _binaries(data, by_data, null)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names=["doc_id", "n_tokens", "control", "data"])
 
     return raw.mapInArrow(recode, "doc_id long, n_tokens long, control binary, data binary"), table
