@@ -32,7 +32,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df, computed once and written as Parquet to the shared folder; reading it survives the loss of executors."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``stored`` gave; no later use of it, nor of what was derived from it, is possible."""
+    _remove(df.sparkSession, df.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
