@@ -1,40 +1,52 @@
-"""Operator 2, n-gram Jaccard join by prefix trees.
+"""Operator 2, n-gram Jaccard join by prefix trees, exact.
 
 A text's set holds the hashes of its distinct word n-grams.  Two sets join if
-their Jaccard similarity is at least t.
-
-1. One pass over the texts writes, for each document, a signature of its set,
-   the set's size, band keys of its minhashes (``bands`` keys of ``rows`` minima
-   each) and a sketch, a byte of each band's first minimum.  Documents with the
-   same signature have the same set; from here on one of them, that of least
-   doc_id, stands for all.
-2. Band keys are shuffled as packed arrays; sets that share a key and enough of
-   their sketches (what a pair at t has less four standard deviations) are
-   linked, and the links' connected components are the blocks.  The sketches
-   keep chance collisions of band keys, which grow with the square of the
-   corpus, from running blocks together.  Two sets of similarity t miss each
-   other with probability (1 - t ** rows) ** bands: 0.008 for t = 0.5 with 36
-   bands of 3, 0.0002 at 0.6.
-3. The n-grams of sets in blocks of two or more are read again and each block is
-   joined exactly in a trie.  N-grams are ordered by the number of the block's
-   sets that hold them, the commonest first, so that similar sets share long
-   paths; n-grams of a single set are counted but not stored.  A set goes down
-   the trie level by level with the overlap it has had on the way, which all
+their Jaccard similarity is at least t.  No pair is left to chance:
+
+1. **Shared n-grams.**  One pass over the texts writes chunks: of each chunk the
+   distinct n-grams, cut into buckets by hash range, about four bytes each, and a
+   directory of its documents.  A bucket finds which of its n-grams occur
+   anywhere else and answers each chunk with the documents that hold them.  A
+   set can only join if at least t of its n-grams are shared; the others end
+   here.  An n-gram goes once for each chunk, however many documents hold it, so
+   one that a third of all documents have is no hot key.
+2. **One global order.**  The sets left, one for all texts that have it, are
+   counted again in the same way; n-grams are ordered by the number of sets that
+   hold them (255 and more count as 255), then by hash.
+3. **Prefixes.**  In the order from the rarest, two sets that join share an
+   n-gram in the first |s| - ceil(t |s|) + 1 of the larger and the first
+   |s| - ceil(2 t / (1 + t) |s|) + 1 of the smaller.  Of the sets that have an
+   n-gram in their prefix, neighbours by size are linked where their sizes allow a
+   join, and where only two meet, where what follows in both allows it.  The
+   links' connected components are blocks; every pair that joins lies within one.
+4. **Tries.**  Each block's sets are stored in a trie in the global order, the
+   commonest n-gram first, so that similar sets share long paths.  A set goes
+   down the trie level by level with the overlap it has had on the way, which all
    sets below a node share.  A subtree is left as soon as that overlap and the
    most that can still follow - what is left of the set, or of the longest set
-   below - is less than the least set below would need.
-
-Result: (doc_id_a, doc_id_b, jaccard), doc_id_a < doc_id_b: every joined pair of
-distinct sets under their least doc_ids, and each further document of a set
-paired with the set's least doc_id.  So copies give a row each, not a row for
-each two of them.
-
-Defined results: null, empty and word-free texts have no n-grams and join
-nothing; a text of fewer than n words has one n-gram, all its words; rows with a
-null doc_id join nothing and are kept by ``deduplicate``; rows that repeat a
-doc_id count as one document, so they stay or go together, and never join each
-other; an empty table gives an empty result; further columns are passed on by
-``deduplicate`` and ignored by ``join``.
+   below - is less than the least set below would need.  A block of more than
+   ``BLOCK_SETS`` sets is cut into shards of at most about that many, of similar
+   sizes; a set visits the earlier shards of possible sizes with which it shares a
+   prefix n-gram, and the shards' parts are added up.
+
+A worker holds a chunk of ``CHUNK_GRAMS`` n-grams, a bucket of about
+``BUCKET_GRAMS`` entries or a shard's sets, whatever the size of the tables.
+Pairs are counted where they are found and never written.
+
+Result: a row for each text (doc_id and n-gram set): doc_id; class_id, the least
+doc_id of its class, the texts connected by joins; n_links, the number of other
+texts it joins itself, those with an equal set included.
+
+Defined results: null, empty and word-free texts have no n-grams, join nothing
+and are classes of their own; a text of fewer than n words has one n-gram, all
+its words; texts of any length are read whole; texts under one doc_id with
+different sets are rows of their own and can join; rows that repeat a doc_id and
+a set are one text in ``join``, and ``deduplicate`` keeps one of them; texts with
+a null doc_id of equal sets are one text, which counts as the greatest doc_id,
+so class_id is null only where all of a class are; equal similarities need no
+rule, as nothing is ranked; an empty table gives an empty result; further
+columns are passed on by ``deduplicate``, whatever their names, and ignored by
+``join``.
 """
 
 from __future__ import annotations
@@ -43,16 +55,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .tables import give_back, stored
+from .tables import discard, give_back, stored
 
-N, T, BANDS, ROWS = 3, 0.5, 36, 3
-#: Rows up to which the documents of blocks, or those to drop, are broadcast; beyond, tables are joined by key.
+N, T = 3, 0.5
+#: Rows up to which a table of ids (16 to 24 bytes a row) is broadcast; beyond, tables are joined by key.
 BROADCAST_ROWS = 500_000
-_ODD = grams.mix(np.arange(1, BANDS * ROWS * 4 + 1, dtype=np.uint64)) | np.uint64(1)
+#: n-grams of a chunk, and of a chunk of sets; entries that a bucket should have; sets of a shard; documents of a chunk (numbered by 16 bits).
+CHUNK_GRAMS, SET_GRAMS, BUCKET_GRAMS, BLOCK_SETS, CHUNK_DOCS = 2_000_000, 500_000, 1_000_000, 1024, 60_000
+#: Least number of buckets is this many times the shuffle partitions.
+BUCKETS_EACH = 2
+#: Bits of an n-gram that stand for it within a bucket.  Two of a bucket's n-grams that have the same only count as shared.
+BITS = 28
+#: Sizes of a shard's sets lie within this factor.
+STEP = 1.25
+_SEVERAL = 0xFFFF
+_CHUNKS = "chunk long, bucket int, n int, body binary"
+_LOW = np.uint64((1 << grams.GRAM_BITS) - 1)
 
 
 def _signatures(bounds: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -60,305 +83,626 @@ def _signatures(bounds: np.ndarray, own: np.ndarray) -> np.ndarray:
     return (sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def _band_keys(bounds: np.ndarray, own: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A row of band keys, and one of the sketch, for each set that isn't empty."""
-    full = np.flatnonzero(np.diff(bounds))
-    keys, sketch = np.zeros((len(full), bands), np.uint64), np.zeros((len(full), bands), np.uint8)
-    if not len(full):
-        return keys, sketch
-    spread = grams.mix(own + np.uint64(0x51ED27))
-    for b in range(bands):
-        key = np.full(len(full), b, np.uint64)
-        for r in range(rows):
-            least = np.minimum.reduceat(spread * _ODD[b * rows + r], bounds[:-1][full])
-            if not r:
-                sketch[:, b] = grams.mix(least) >> np.uint64(56)
-            key = grams.mix(key + least)
-        keys[:, b] = key
-    return keys, sketch
+def _least(t: float, size: np.ndarray) -> np.ndarray:
+    """The least whole number of at least t * size."""
+    return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
-def _packed(rows: np.ndarray) -> pa.Array:
-    """Each row of an array as a binary."""
-    width = rows.shape[1] * rows.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+# ---- chunks, buckets and answers
 
 
-def described(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, sig, size, keys, sketch) of each document that has n-grams and a doc_id."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as differences, byte by byte of significance: of ascending ones the shuffle's compression then leaves little more than the bytes that differ."""
+    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _numbers(body: bytes, n: int, kind: type = np.uint32, at: int = 0) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel(), dtype=kind)
+
+
+def _slices(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets that have any, bounds of each, BITS bits) of ascending n-gram hashes."""
+    wide = own * np.uint64(buckets)
+    bucket, bits = (wide >> np.uint64(grams.GRAM_BITS)).astype(np.int64), ((wide & _LOW) >> np.uint64(grams.GRAM_BITS - BITS)).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[first], np.append(first, len(bucket)), bits
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "bucket", "n", "body"])
+
+
+def _buckets_for(entries: float, parts: int) -> int:
+    return int(min(1 << 18, max(BUCKETS_EACH * parts, entries / BUCKET_GRAMS + 1)))
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+_DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("sig", "<i8"), ("size", "<i4"), ("shared", "<i4")])
+
+
+def _written(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Chunks of the texts: for each bucket its n-grams and the documents that hold them (or that several do), in bucket -1 the directory."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        count = [0, 0, TaskContext.get().partitionId() << 32]
+
+        def flush() -> pa.RecordBatch:
+            own = np.concatenate([x[2] for x in held])
+            docs = np.zeros(count[1], _DOC)
+            docs["id"], docs["null"], docs["size"] = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3))
+            bounds = np.concatenate([[0], np.cumsum(docs["size"], dtype=np.int64)])
+            docs["sig"] = np.where(docs["size"] > 0, _signatures(bounds, own), 0)
+            key = np.sort((own << np.uint64(16)) | np.repeat(np.arange(count[1], dtype=np.uint64), docs["size"]))
+            gram, doc = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.uint16)
+            fresh = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
+            alone = fresh & np.append(fresh[1:], True)[: len(fresh)]
+            docs["shared"] = np.bincount(doc[~alone], minlength=count[1])
+            who = np.where(alone, doc, _SEVERAL).astype(np.uint16)[fresh]
+            own_buckets, at, bits = _slices(gram[fresh], buckets)
+            rows = [(count[2], -1, count[1], docs.tobytes())]
+            rows += [(count[2], b, z - a, _planes(bits[a:z]) + who[a:z].tobytes()) for b, a, z in zip(own_buckets.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            held.clear()
+            count[:] = [0, 0, count[2] + 1]
+            return _rows(rows)
+
         for batch in batches:
             for first, bounds, own in grams.gram_sets(batch.column(1), n):
-                full = np.flatnonzero(np.diff(bounds))
-                keys, sketch = _band_keys(bounds, own, bands, rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full + first)), pa.array(_signatures(bounds, own)[full]), pa.array(np.diff(bounds)[full], pa.int64()), _packed(keys), _packed(sketch)], names=["doc_id", "sig", "size", "keys", "sketch"])
+                ids = batch.column(0).slice(first, len(bounds) - 1)
+                # a run of texts has about a megabyte or a single text, and at most 65,535 rows
+                for a in range(0, len(ids), CHUNK_DOCS):
+                    z = min(len(ids), a + CHUNK_DOCS)
+                    if held and (count[0] + bounds[z] - bounds[a] > CHUNK_GRAMS or count[1] + z - a > CHUNK_DOCS):
+                        yield flush()
+                    part = ids.slice(a, z - a)
+                    held.append((part.fill_null(0).to_numpy(), np.array(part.is_null()), own[bounds[a] : bounds[z]], np.diff(bounds[a : z + 1])))
+                    count[0], count[1] = count[0] + int(bounds[z] - bounds[a]), count[1] + z - a
+        if held:
+            yield flush()
+        give_back()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, _CHUNKS)
+
+
+def _by(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    """Runs of rows that are equal in a column."""
+    own: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own and own[-1][column] != row[column]:
+                yield own
+                own = []
+            own.append(row)
+    if own:
+        yield own
+
+
+def _answers(chunks: DataFrame, counted: bool) -> DataFrame:
+    """A row for each chunk and bucket: the documents with n-grams that occur elsewhere or, counted, the count of each n-gram, up to 255."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by(batches, 1):
+            bits = [_numbers(body, n) for _, _, n, body in rows]
+            tails = [np.frombuffer(body, np.uint16, n, 4 * n) for _, _, n, body in rows]
+            every = np.concatenate(bits)
+            out = []
+            if counted:
+                values, back = np.unique(every, return_inverse=True)
+                total = np.minimum(np.bincount(back, np.concatenate(tails)), 255).astype(np.uint8)[back]
+                for row, a in zip(rows, np.cumsum([0, *(len(x) for x in bits[:-1])]).tolist(), strict=True):
+                    out.append((row[0], row[1], row[2], total[a : a + row[2]].tobytes()))
+            else:
+                order = np.sort(every)
+                again = order[1:][order[1:] == order[:-1]]
+                again = again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
+                for row, own, who in zip(rows, bits, tails, strict=True):
+                    place = np.minimum(np.searchsorted(again, own), max(0, len(again) - 1))
+                    found = who[(again[place] == own) & (who != _SEVERAL)] if len(again) else who[:0]
+                    if len(found):
+                        out.append((row[0], row[1], len(found), found.tobytes()))
+            yield _rows(out)
+        give_back()
+
+    return chunks.filter("bucket >= 0").repartition(_parts(chunks), "bucket").sortWithinPartitions("bucket").mapInArrow(apply, _CHUNKS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(apply, "doc_id long, sig long, size long, keys binary, sketch binary")
 
+def _described(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(doc_id, sig, size, shared) of each row of docs: its set's signature and size, and whether enough of it is shared to join anything."""
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = stored(_written(docs, n, _buckets_for(length / 7, _parts(docs))))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by(batches, 0):
+            docs = np.frombuffer(rows[0][3], _DOC)
+            shared = docs["shared"] + np.bincount(np.frombuffer(b"".join(r[3] for r in rows[1:]), np.uint16), minlength=len(docs))
+            good = (docs["size"] > 0) & (shared >= _least(t, docs["size"]))
+            yield pa.RecordBatch.from_arrays([pa.array(docs["id"].copy(), mask=docs["null"] > 0), pa.array(docs["sig"].copy()), pa.array(docs["size"].astype(np.int64)), pa.array(good)], names=["doc_id", "sig", "size", "shared"])
+        give_back()
+
+    both = chunks.filter("bucket < 0").union(_answers(chunks, False)).repartition(_parts(docs), "chunk").sortWithinPartitions("chunk", "bucket")
+    out = stored(both.mapInArrow(apply, "doc_id long, sig long, size long, shared boolean"))
+    discard(chunks)
+    return out
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-def _linked(entries: np.ndarray, least: int) -> np.ndarray:
-    """(a, b) signatures to link among entries of equal keys whose sketches agree in at least ``least`` places.
 
-    Under each key the least signature is linked to those that agree with it;
-    these go, and it begins again with the rest.
+def _joinable(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if _few(df) else df.hint("shuffle_hash")
+
+
+_SET = np.dtype([("sig", "<i8"), ("size", "<i4")])
+
+
+def _ordered(docs: DataFrame, carriers: DataFrame, n: int, t: float) -> DataFrame:
+    """(sig, size, path, prefix, left, index) of each carrier's set.
+
+    path: its shared n-grams as numbers that ascend in the global order, the
+    commonest first; prefix: those of them a larger set must share one of, the
+    rarest first, of which a smaller one needs the first ``index``; left: the
+    length of path.
     """
-    entries = entries[np.argsort(entries["key"], kind="stable")]
-    same = entries["key"][1:] == entries["key"][:-1]
-    entries = entries[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(entries) else entries
-    entries = entries[np.lexsort((entries["sig"], entries["key"]))]
-    fresh = (entries["key"][1:] != entries["key"][:-1]) | (entries["sig"][1:] != entries["sig"][:-1])
-    entries = entries[np.concatenate([[True], fresh])] if len(entries) else entries
-    links = [np.zeros((0, 2), np.int64)]
-    while len(entries) > 1:
-        head = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])
-        first = np.maximum.accumulate(np.where(head, np.arange(len(entries)), 0))
-        agree = (entries["sketch"] == entries["sketch"][first]).sum(1) >= least
-        links.append(np.stack([entries["sig"][first], entries["sig"]], 1)[agree & ~head])
-        entries = entries[~agree & ~head]
-    return np.unique(np.concatenate(links), axis=0)
-
-
-def _links(table: DataFrame, bands: int, t: float) -> DataFrame:
-    """(a, b), a < b: signatures that share a band key and enough of their sketches."""
-    spark = table.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * parts
-    entry = np.dtype([("key", "<u8"), ("sig", "<i8"), ("sketch", "u1", (bands,))])
-    least = max(1, int(bands * t - 4 * (bands * t * (1 - t)) ** 0.5))
+    parts = _parts(docs)
+    total = carriers.agg(F.sum("size")).first()[0] or 0
+    buckets = _buckets_for(total, parts)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = carriers.select(F.col("doc_id").alias("carrier")).distinct()
+    found = texts.join(_joinable(ids.filter("carrier is not null")), F.col("doc_id") == F.col("carrier"), "left_semi")
+    if ids.filter("carrier is null").count():
+        found = found.union(texts.filter("doc_id is null"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, bounds, own in grams.gram_sets(batch.column(0), n):
+                packed = pa.array([_planes(own[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_signatures(bounds, own)), packed], names=["sig", "grams"])
+
+    # rows that repeat a carrier's doc_id can have other sets; those of a null doc_id, the same again
+    own = found.select("text").mapInArrow(sets, "sig long, grams binary").join(_joinable(carriers.select("sig")), "sig", "left_semi")
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        count, chunk, last = 0, TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            for sig, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sig == last:
+                    continue
+                last = sig
+                if held and (count + len(packed) // 8 > SET_GRAMS or len(held) >= CHUNK_DOCS):
+                    yield flush(chunk, held)
+                    held, count, chunk = [], 0, chunk + 1
+                held.append((sig, packed))
+                count += len(packed) // 8
+        if held:
+            yield flush(chunk, held)
+        give_back()
+
+    def flush(chunk: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        head = np.array([(sig, len(x) // 8) for sig, x in held], _SET)
+        own = np.concatenate([_numbers(x, len(x) // 8, np.uint64) for _, x in held])
+        return _rows([(chunk, -1, len(held), head.tobytes() + _planes(own))])
+
+    def opened(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        head = np.frombuffer(body, _SET, n)
+        return head, _numbers(body, int(head["size"].sum()), np.uint64, head.nbytes)
+
+    whole = stored(own.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(chunked, _CHUNKS))
+
+    def scattered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, n, body in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                gram, times = np.unique(opened(body, n)[1], return_counts=True)
+                own, at, bits = _slices(gram, buckets)
+                times = times.astype(np.uint16)
+                yield _rows([(chunk, b, z - a, _planes(bits[a:z]) + times[a:z].tobytes()) for b, a, z in zip(own.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by(batches, 0):
+            n = rows[0][2]
+            head, own = opened(rows[0][3], n)
+            size = head["size"].astype(np.int64)
+            _, back = np.unique(own, return_inverse=True)
+            times = np.frombuffer(b"".join(r[3] for r in rows[1:]), np.uint8)[back]
+            key = (np.uint64(255) - times.astype(np.uint64) << np.uint64(grams.GRAM_BITS)) | own
+            doc = np.repeat(np.arange(n), size)
+            many = times > 1
+            key, doc = key[many], doc[many]
+            key = key[np.lexsort((key, doc))]
+            long = np.bincount(doc, minlength=n)
+            ends = np.cumsum(long)
+            # from the rarest: n-grams that no other set has come first and are in no path
+            alone = size - long
+            probe = np.clip(size - _least(t, size) + 1 - alone, 0, long)
+            index = np.clip(size - _least(2 * t / (1 + t), size) + 1 - alone, 0, long)
+            paths = [key[e - k : e] for e, k in zip(ends.tolist(), long.tolist(), strict=True)]
+            prefix = pa.array([p[::-1][:k].tobytes() for p, k in zip(paths, probe.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(head["sig"].copy()), pa.array(size), pa.array([_planes(p) for p in paths], pa.binary()), prefix, pa.array(long), pa.array(index)], names=["sig", "size", "path", "prefix", "left", "index"])
+        give_back()
+
+    answers = _answers(whole.mapInArrow(scattered, _CHUNKS), True)
+    both = whole.union(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    out = stored(both.mapInArrow(ordered, "sig long, size long, path binary, prefix binary, left long, index long"))
+    discard(whole)
+    return out
+
+
+# ---- links of prefixes, and blocks
+
+#: An n-gram in a set's prefix: its hash, the set, its size, how many n-grams of it are left from this one on, whether it is in its index.
+_ENTRY = np.dtype([("gram", "<u4"), ("sig", "<i8"), ("size", "<u4"), ("left", "<u4"), ("index", "u1")])
+
+
+def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """The least node of each node's component under the links a - b."""
+    root = np.arange(nodes)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _met(own: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of entries to link, so that all pairs that may join are connected."""
+    own_order = np.lexsort((1 - own["index"], own["size"], own["gram"]))
+    own = own[own_order]
+    size = own["size"].astype(np.int64)
+    # runs of one n-gram, cut where a size and the next rule each other out
+    head = np.concatenate([[True], (own["gram"][1:] != own["gram"][:-1]) | (size[:-1] < t * size[1:] - 1e-9)])
+    run, place = np.cumsum(head) - 1, np.arange(len(own))
+    # of a pair the smaller has it in its index: sets before the first such have no larger one to join
+    first = np.full(run[-1] + 1, len(own))
+    np.minimum.at(first, run[own["index"] > 0], np.flatnonzero(own["index"]))
+    good = place >= first[run]
+    link = np.flatnonzero(good[:-1] & good[1:] & (run[1:] == run[:-1]))
+    alone = np.bincount(run[good], minlength=run[-1] + 1)[run[link]] == 2
+    enough = np.minimum(own["left"][link], own["left"][link + 1]) >= t / (1 + t) * (size[link] + size[link + 1]) - 1e-9
+    link = link[~alone | enough]
+    return own_order[link], own_order[link + 1]
+
+
+def _links(sets: DataFrame, t: float) -> DataFrame:
+    """(a, b): signatures, linked so that all sets that may join by their prefixes are connected."""
+    entries = sets.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    buckets = int(max(1, min(1 << 18, entries / BUCKET_GRAMS + 1)))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            entries = np.empty(batch.num_rows * bands, entry)
-            entries["key"] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            entries["sig"] = np.repeat(batch.column(0).to_numpy(), bands)
-            entries["sketch"] = np.repeat(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, bands), bands, axis=0)
-            bucket = (entries["key"] % np.uint64(buckets)).astype(np.int64)
+            sig, full, left, index = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
+            prefix = batch.column(1).to_pylist()
+            size = np.array([len(p) // 8 for p in prefix], np.int64)
+            gram = grams.mix(np.frombuffer(b"".join(prefix), np.uint64))
+            bucket = (gram >> np.uint64(32)).astype(np.int64) % buckets
+            own = np.zeros(len(gram), _ENTRY)
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+            own["gram"], own["sig"], own["size"] = gram.astype(np.uint32), np.repeat(sig, size), np.repeat(full, size)
+            own["left"], own["index"] = np.repeat(left, size) - place, place < np.repeat(index, size)
             order = np.argsort(bucket, kind="stable")
-            entries, ends = entries[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            own = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([entries[ends[k] : ends[k + 1]].tobytes() for k in own], pa.binary())], names=["bucket", "entries"])
+            own, at = own[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            # columns of bytes, for the compression's sake
+            yield _rows([(0, b, int(at[b + 1] - at[b]), np.ascontiguousarray(own[at[b] : at[b + 1]].view(np.uint8).reshape(-1, _ENTRY.itemsize).T).tobytes()) for b in np.flatnonzero(np.diff(at)).tolist()])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        link = _linked(np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), entry), least)
-        yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), pa.array(link[:, 1])], names=["a", "b"])
+        for rows in _by(batches, 1):
+            own = np.concatenate([np.ascontiguousarray(np.frombuffer(r[3], np.uint8).reshape(_ENTRY.itemsize, -1).T).view(_ENTRY).ravel() for r in rows])
+            names, node = np.unique(own["sig"], return_inverse=True)
+            a, b = _met(own, t)
+            root = _forest(node[a], node[b], len(names))
+            child = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[root[child]]), pa.array(names[child])], names=["a", "b"])
         give_back()
 
-    scattered = table.select("sig", "keys", "sketch").mapInArrow(scatter, "bucket int, entries binary").repartition(parts, "bucket")
-    return scattered.mapInArrow(gather, "a long, b long").distinct()
+    scattered = sets.select("sig", "prefix", "size", "left", "index").mapInArrow(scatter, _CHUNKS)
+    return scattered.repartition(min(buckets, _parts(sets)), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): each node of links(a, b) with its component's least node."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"))
-    roots = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
-    while True:
-        near = both.join(roots.toDF("other", "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = stored(step.join(jump, "new").select("node", "root", F.least("new", "far").alias("new")))
-        moved = step.filter("root <> new").limit(1).count()
-        roots = step.select("node", F.col("new").alias("root"))
-        if not moved:
-            return roots
+class Trie:
+    """Sets in a trie; sets: ascending numbers, whose order is that of the levels, commonest first.
 
+    size: of the whole sets, which may have more n-grams than those given here.
+    Unless others are to be matched as well, n-grams of a single set are left out.
+    """
 
-def trie_join(sets: list[np.ndarray], t: float) -> list[tuple[int, int, int]]:
-    """(i, j, overlap), i < j, of the sets (sorted distinct hashes) with a Jaccard similarity of at least t."""
-    m = len(sets)
-    if m < 2:
-        return []
-    size = np.array([len(s) for s in sets], np.int64)
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.flatnonzero(counts > 1)
-    rank = np.full(len(values), -1, np.int64)
-    rank[common[np.lexsort((values[common], -counts[common]))]] = np.arange(len(common))
-    ranks, begin = rank[inverse], np.concatenate([[0], np.cumsum(size)])
-    paths = [np.sort(r[r >= 0]) for r in (ranks[begin[k] : begin[k + 1]] for k in range(m))]
-    # the trie, from the paths in order and the length of each one's prefix shared with the one before
-    order = sorted(range(m), key=lambda k: paths[k].tolist())
-    parent, low, owner, ends_at = [-1], [0], [0], np.zeros(m, np.int64)  # a node's n-grams: paths[owner][low:high]
-    high, depth = [0], [0]
-    stack = [0]
-    before: np.ndarray | None = None
-    for k in order:
-        path = paths[k]
-        shared = 0
-        if before is not None:
-            short = min(len(path), len(before))
-            differ = np.flatnonzero(path[:short] != before[:short])
-            shared = int(differ[0]) if len(differ) else short
-            while high[stack[-1]] > shared:
-                node = stack.pop()
-                if high[stack[-1]] < shared:  # split node: its upper part becomes a node of its own
-                    parent.append(stack[-1])
-                    low.append(low[node])
-                    high.append(shared)
-                    owner.append(owner[node])
-                    parent[node], low[node] = len(parent) - 1, shared
-                    stack.append(len(parent) - 1)
-                    break
-        if len(path) > shared or before is None:
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray, t: float, others: bool = False) -> None:
+        m = len(sets)
+        self.t, self.size = t, size
+        long = np.array([len(s) for s in sets], np.int64)
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        if not others:
+            common = counts > 1
+            rank = np.where(common, np.cumsum(common) - 1, -1)
+            values, ranks = values[common], rank[inverse]
+        else:
+            ranks = inverse
+        self.values, begin = values, np.concatenate([[0], np.cumsum(long)])
+        self.paths = [r[r >= 0] for r in (ranks[begin[k] : begin[k + 1]] for k in range(m))]
+        paths = self.paths
+        # built from the paths in order and the length of each one's prefix shared with the one before
+        order = sorted(range(m), key=lambda k: paths[k].astype(">u4").tobytes())
+        parent, low, owner, ends_at = [-1], [0], [0], np.zeros(m, np.int64)  # a node's n-grams: paths[owner][low:high]
+        high, stack = [0], [0]
+        before: np.ndarray | None = None
+        for k in order:
+            path = paths[k]
+            shared = 0
+            if before is not None:
+                short = min(len(path), len(before))
+                differ = np.flatnonzero(path[:short] != before[:short])
+                shared = int(differ[0]) if len(differ) else short
+                while high[stack[-1]] > shared:
+                    node = stack.pop()
+                    if high[stack[-1]] < shared:  # split node: its upper part becomes a node of its own
+                        parent.append(stack[-1])
+                        low.append(low[node])
+                        high.append(shared)
+                        owner.append(owner[node])
+                        parent[node], low[node] = len(parent) - 1, shared
+                        stack.append(len(parent) - 1)
+                        break
             if len(path) > shared:
                 parent.append(stack[-1])
                 low.append(shared)
                 high.append(len(path))
                 owner.append(k)
                 stack.append(len(parent) - 1)
-        ends_at[k] = stack[-1]
-        before = path
-    nodes = len(parent)
-    parents = np.array(parent)
-    lows, highs = np.array(low), np.array(high)
-    # children after parents: by their depth in n-grams
-    by_depth = np.argsort(lows, kind="stable")
-    least, longest = np.full(nodes, 1 << 60), np.zeros(nodes, np.int64)
-    np.minimum.at(least, ends_at, size)
-    np.maximum.at(longest, ends_at, np.array([len(p) for p in paths]))
-    for node in by_depth[::-1].tolist():
-        up = parent[node]
-        if up >= 0:
-            least[up], longest[up] = min(least[up], least[node]), max(longest[up], longest[node])
-    children = np.argsort(parents, kind="stable")
-    child_at = np.searchsorted(parents[children], np.arange(nodes + 1))
-    held = np.argsort(ends_at, kind="stable")
-    held_at = np.searchsorted(ends_at[held], np.arange(nodes + 1))
-    flat = np.concatenate([paths[owner[x]][lows[x] : highs[x]] for x in range(nodes)])
-    flat_at = np.concatenate([[0], np.cumsum(highs - lows)])
-    final = np.array([paths[owner[x]][highs[x] - 1] if highs[x] else -1 for x in range(nodes)])  # a node's last n-gram
-    share = t / (1 + t)
-    out = []
-    has = np.zeros(len(common) + 1, np.int64)
-    spread = lambda starts, sizes: np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-    for i in range(m):
-        path = paths[i]
-        has[path] = 1
+            ends_at[k] = stack[-1]
+            before = path
+        nodes = len(parent)
+        parents, lows, self.highs = np.array(parent), np.array(low), np.array(high)
+        least, longest = np.full(nodes, 1 << 60), np.zeros(nodes, np.int64)
+        np.minimum.at(least, ends_at, size)
+        np.maximum.at(longest, ends_at, np.array([len(p) for p in paths]))
+        least, longest = least.tolist(), longest.tolist()
+        for node in np.argsort(lows, kind="stable")[::-1].tolist():  # children before parents, by their depth in n-grams
+            up = parent[node]
+            if up >= 0:
+                least[up], longest[up] = min(least[up], least[node]), max(longest[up], longest[node])
+        self.least, self.longest = np.array(least), np.array(longest)
+        self.children = np.argsort(parents, kind="stable")
+        self.child_at = np.searchsorted(parents[self.children], np.arange(nodes + 1))
+        self.held = np.argsort(ends_at, kind="stable")
+        self.held_at = np.searchsorted(ends_at[self.held], np.arange(nodes + 1))
+        self.long = self.highs - lows
+        self.flat = np.concatenate([paths[owner[x]][lows[x] : self.highs[x]] for x in range(nodes)])
+        self.flat_at = np.concatenate([[0], np.cumsum(self.long)])
+        self.final = np.array([paths[owner[x]][high[x] - 1] if high[x] else -1 for x in range(nodes)])  # a node's last n-gram
+        self.has = np.zeros(len(values) + 1, np.int64)
+
+    def matches(self, path: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, overlaps): those with a Jaccard similarity of at least t to a set of that size with that path, itself included."""
+        spread = lambda starts, sizes: np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
+        share, found = self.t / (1 + self.t), ([], [])
+        self.has[path] = 1
         frontier, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
         while len(frontier):
-            # sets that end here
-            n = held_at[frontier + 1] - held_at[frontier]
-            if n.any():
-                j, o = held[spread(held_at[frontier], n)], np.repeat(overlap, n)
-                good = (j > i) & (o >= t * (size[i] + size[j] - o) - 1e-9)
-                out.extend(zip([i] * int(good.sum()), j[good].tolist(), o[good].tolist(), strict=True))
-            n = child_at[frontier + 1] - child_at[frontier]
-            nodes_next = children[spread(child_at[frontier], n)]
-            sizes = highs[nodes_next] - lows[nodes_next]
-            if not len(nodes_next):
+            n = self.held_at[frontier + 1] - self.held_at[frontier]
+            if n.any():  # sets that end here
+                j, o = self.held[spread(self.held_at[frontier], n)], np.repeat(overlap, n)
+                good = o >= self.t * (size + self.size[j] - o) - 1e-9
+                found[0].append(j[good])
+                found[1].append(o[good])
+            n = self.child_at[frontier + 1] - self.child_at[frontier]
+            below = self.children[spread(self.child_at[frontier], n)]
+            if not len(below):
                 break
-            hits = has[flat[spread(flat_at[nodes_next], sizes)]]
+            sizes = self.long[below]
+            hits = self.has[self.flat[spread(self.flat_at[below], sizes)]]
             overlap = np.repeat(overlap, n) + np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            left = len(path) - np.searchsorted(path, final[nodes_next], "right")
-            most = overlap + np.minimum(left, longest[nodes_next] - highs[nodes_next])
-            alive = most >= share * (size[i] + least[nodes_next]) - 1e-9
-            frontier, overlap = nodes_next[alive], overlap[alive]
-        has[path] = 0
+            left = len(path) - np.searchsorted(path, self.final[below], "right")
+            most = overlap + np.minimum(left, self.longest[below] - self.highs[below])
+            alive = most >= share * (size + self.least[below]) - 1e-9
+            frontier, overlap = below[alive], overlap[alive]
+        self.has[path] = 0
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+    def path_of(self, own: np.ndarray) -> np.ndarray:
+        """The path of a set that isn't in the trie."""
+        at = np.searchsorted(self.values, own)
+        at = at[at < len(self.values)]
+        return at[self.values[at] == own[: len(at)]]
+
+
+def trie_join(sets: list[np.ndarray], t: float) -> list[tuple[int, int, int]]:
+    """(i, j, overlap), i < j, of the sets (ascending distinct numbers) with a Jaccard similarity of at least t."""
+    if len(sets) < 2:
+        return []
+    size = np.array([len(s) for s in sets], np.int64)
+    trie, out = Trie(sets, size, t), []
+    for i, path in enumerate(trie.paths):
+        j, o = trie.matches(path, int(size[i]))
+        out.extend((i, b, n) for b, n in zip(j.tolist(), o.tolist(), strict=True) if b > i)
     return out
 
 
-def _blocks(docs: DataFrame, table: DataFrame, n: int, bands: int, t: float) -> DataFrame:
-    """(block, sig, doc_id, grams) of the sets in blocks of two or more, a block's rows next to each other."""
-    roots = components(_links(table, bands, t))
-    carriers = table.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(roots.toDF("sig", "block"), "sig")
-    carriers = stored(carriers.select("block", F.col("sig").alias("want"), "doc_id"))
-    few = carriers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(carriers) if few else carriers.hint("shuffle_hash"), "doc_id").select("block", "want", "doc_id", "text")
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): each node of links(a, b) with its component's least node."""
+    both = stored(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"))
+    roots = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    while True:
+        near = both.join(roots.toDF("other", "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        step = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
+        step = stored(step.join(jump, "new").select("node", "root", F.least("new", "far").alias("new")))
+        moved = step.filter("root <> new").limit(1).count()
+        roots = step.select("node", F.col("new").alias("root"))
+        if not moved:
+            discard(both)
+            return roots
+
+
+def _tasks(sets: DataFrame, roots: DataFrame, t: float) -> tuple[DataFrame, bool]:
+    """((block, shard, visits, sig), whether any block has several shards): each set in its shard, and in the earlier shards it visits."""
+    blocks = roots.groupBy("block").agg((F.count("*") > BLOCK_SETS).alias("large"))
+    placed = roots.join(blocks, "block").join(sets.select("sig", "size"), "sig")
+    placed = placed.withColumn("step", F.when(F.col("large"), F.floor(F.log("size") / float(np.log(STEP)))).otherwise(0).cast("int"))
+    each = placed.groupBy("block", "step").agg(F.count("*").alias("n"))
+    placed = placed.join(each, ["block", "step"]).select("block", "step", F.pmod(F.xxhash64("sig"), F.ceil(F.col("n") / BLOCK_SETS)).cast("int").alias("part"), "sig", "large")
+    placed = stored(placed.select("block", (F.col("step") * (1 << 24) + F.col("part")).cast("long").alias("shard"), "step", "sig", "large"))
+    home = placed.select("block", "shard", F.lit(False).alias("visits"), "sig")
+    if not placed.filter("large").limit(1).count():
+        return home, False
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, bounds, own in grams.gram_sets(batch.column(3), n):
-                rows = batch.slice(first, len(bounds) - 1)
-                # a repeated doc_id can have another text
-                good = np.flatnonzero(_signatures(bounds, own) == rows.column(1).to_numpy())
-                packed = pa.array([own[bounds[k] : bounds[k + 1]].tobytes() for k in good.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(good)) for c in range(3)), packed], names=["block", "sig", "doc_id", "grams"])
+            for r in range(batch.num_rows):
+                gram = np.frombuffer(batch.column(3)[r].as_py(), np.int64)
+                if len(gram):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[r].as_py()] * len(gram), k) for c, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()))), pa.array(gram)], names=["block", "shard", "sig", "gram"])
+
+    grams_of = placed.filter("large").select("block", "shard", "sig").join(sets.select("sig", "prefix"), "sig").select("block", "shard", "sig", "prefix")
+    grams_of = stored(grams_of.mapInArrow(unpacked, "block long, shard long, sig long, gram long"))
+    there = grams_of.select("block", F.col("shard").alias("other"), "gram").distinct()
+    far = int(np.ceil(np.log(1 / t) / np.log(STEP))) + 1  # steps between sizes that can join
+    near = (F.col("other") < F.col("shard")) & (F.shiftright("shard", 24) - F.shiftright("other", 24) <= far)
+    visits = grams_of.join(there, ["block", "gram"]).filter(near).select("block", F.col("other").alias("shard"), F.lit(True).alias("visits"), "sig").distinct()
+    return home.union(visits), True
+
+
+def _matched(sets: DataFrame, copies: DataFrame, t: float) -> DataFrame:
+    """(sig, class, links): of each set that joins others its class and the number of texts in those others; copies: (sig, copies)."""
+    roots = stored(components(_links(sets, t)).toDF("sig", "block"))
+    tasks, several = _tasks(sets, roots, t)
+    rows = tasks.join(sets.select("sig", "size", "path"), "sig").join(copies.select("sig", "copies"), "sig").select("block", "shard", "visits", "sig", "size", "copies", "path")
+    rows = rows.repartition(_parts(sets), "block", "shard").sortWithinPartitions("block", "shard", "visits", "sig")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _tasks_of(batches):
+            home = [r for r in own if not r[2]]
+            guests = own[len(home) :]
+            if len(home) + len(guests) < 2 or not home:
+                continue
+            read = lambda r: _numbers(r[6], len(r[6]) // 8, np.uint64)
+            size, many = np.array([r[4] for r in own], np.int64), np.array([r[5] for r in own], np.int64)
+            trie = Trie([read(r) for r in home], size[: len(home)], t, bool(guests))
+            links, a, b = np.zeros(len(own), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, path in enumerate(trie.paths):
+                j, _ = trie.matches(path, int(size[i]))
+                j = j[j != i]
+                links[i] += many[j].sum()
+                later = j[j > i]
+                a.append(np.full(len(later[:1]), i))
+                b.append(later[:1])
+                a.append(later[:-1])  # a chain connects them as well as a star
+                b.append(later[1:])
+            for i, r in enumerate(guests, len(home)):
+                j, _ = trie.matches(trie.path_of(read(r)), int(size[i]))
+                links[i] += many[j].sum()
+                links[j] += many[i]
+                a.append(np.full(len(j), i))
+                b.append(j)
+            root = _forest(np.concatenate(a), np.concatenate(b), len(own))
+            joined = np.flatnonzero(links)
+            sig = np.array([r[3] for r in own], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[joined]), pa.array(sig[root[joined]]), pa.array(links[joined])], names=["sig", "class", "links"])
+        give_back()
 
-    found = texts.mapInArrow(sets, "block long, sig long, doc_id long, grams binary")
-    return found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "sig")
+    found = stored(rows.mapInArrow(match, "sig long, class long, links long"))
+    if not several:
+        return found
+    classes = components(found.select(F.col("sig").alias("a"), F.col("class").alias("b"))).toDF("sig", "class")
+    return stored(found.groupBy("sig").agg(F.sum("links").alias("links")).join(classes, "sig").select("sig", "class", "links"))
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """(doc_ids, sets) of each block; equal sets appear once."""
-    block, ids, sets, last = None, [], [], None
+def _tasks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block and shard."""
+    own: list[tuple] = []
     for batch in batches:
-        for b, sig, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            if b != block:
-                if len(ids) > 1:
-                    yield ids, sets
-                block, ids, sets, last = b, [], [], None
-            if sig != last:
-                ids.append(doc_id)
-                sets.append(np.frombuffer(packed, np.uint64))
-                last = sig
-    if len(ids) > 1:
-        yield ids, sets
-    give_back()
-
-
-def join(docs: DataFrame, n: int = N, t: float = T, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) as said above."""
-    table = stored(described(docs, n, bands, rows))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _by_block(batches):
-            found = trie_join(sets, t)
-            if found:
-                i, j, o = np.array(found).T
-                own, sizes = np.array(ids), np.array([len(s) for s in sets])
-                a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.round(o / (sizes[i] + sizes[j] - o), 6))], names=["doc_id_a", "doc_id_b", "jaccard"])
-
-    near = _blocks(docs, table, n, bands, t).mapInArrow(pairs, "doc_id_a long, doc_id_b long, jaccard double").filter("doc_id_a < doc_id_b")
-    least = table.groupBy("sig").agg(F.min("doc_id").alias("doc_id_a"), F.count("*").alias("n")).filter("n > 1")
-    copies = table.join(least, "sig").filter("doc_id > doc_id_a").select("doc_id_a", F.col("doc_id").alias("doc_id_b")).distinct().withColumn("jaccard", F.lit(1.0))
-    return near.union(copies)
-
-
-def dropped(docs: DataFrame, n: int = N, t: float = T, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id): of each group of documents connected by joined pairs all but the least doc_id."""
-    table = stored(described(docs, n, bands, rows))
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _by_block(batches):
-            root = list(range(len(ids)))
-
-            def find(x: int, root: list[int] = root) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for i, j, _ in trie_join(sets, t):
-                a, b = find(i), find(j)
-                if a != b:
-                    a, b = (a, b) if ids[a] < ids[b] else (b, a)
-                    root[b] = a
-            own = [k for k in range(len(ids)) if find(k) != k]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in own]), pa.array([ids[find(k)] for k in own])], names=["stands", "stays"])
-
-    joined = _blocks(docs, table, n, bands, t).mapInArrow(groups, "stands long, stays long")
-    # a block's pairs never leave it, so its groups are final; a set's further documents go with their least one
-    least = table.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = table.join(least, "sig").filter("doc_id > least").select("doc_id")
-    return joined.select(F.col("stands").alias("doc_id")).union(copies).distinct()
-
-
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """docs without the documents that ``dropped`` names."""
-    gone = stored(dropped(docs, **how).withColumnRenamed("doc_id", "gone"))
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone"], "left_anti")
-
-
-#: The same rows in SQL, by counting shared n-grams.
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own and own[-1][:2] != row[:2]:
+                yield own
+                own = []
+            own.append(row)
+    if own:
+        yield own
+
+
+def _classes(docs: DataFrame, rows: DataFrame, n: int, t: float) -> DataFrame:
+    """(sig, class_sig, class_id, copies, links) of each set that several texts have or that joins others; rows: as ``_described`` gives them."""
+    texts = rows.filter("shared").select("doc_id", "sig", "size").distinct()
+    carriers = stored(texts.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count("*").alias("copies")))
+    sets = _ordered(docs, carriers, n, t)
+    found = _matched(sets, carriers, t)
+    discard(sets)
+    own = carriers.join(found, "sig", "left").filter("copies > 1 or links is not null")
+    own = stored(own.select("sig", F.coalesce("class", "sig").alias("class_sig"), "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links")))
+    # the least text of a class: by doc_id, nulls last, then by signature
+    least = own.groupBy("class_sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "sig")).alias("least"))
+    return stored(own.join(least, "class_sig").select("sig", "class_sig", F.col("least.doc_id").alias("class_id"), F.col("least.sig").alias("least_sig"), "copies", "links"))
+
+
+def join(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """(doc_id, class_id, n_links) as said above."""
+    docs = docs.select("doc_id", "text")
+    rows = _described(docs, n, t)
+    classes = _classes(docs, rows, n, t).withColumnRenamed("sig", "of")
+    texts = rows.filter("shared or size = 0").select("doc_id", "sig", "size").distinct()
+    near = texts.join(_joinable(classes), F.col("sig") == F.col("of"), "left")
+    near = near.select("doc_id", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
+    # a set that shares too little is no other row's
+    alone = rows.filter("not shared and size > 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return near.union(alone)
+
+
+def _signature(texts: Column, n: int) -> Column:
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)]
+        for _, bounds, own in grams.gram_sets(texts, n):
+            out.append(np.where(np.diff(bounds) > 0, _signatures(bounds, own), 0))
+        return pa.array(np.concatenate(out))
+
+    return of(texts)
+
+
+def deduplicate(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """docs with one row of each class, that of the least doc_id; rows whose texts have no n-grams stay."""
+    rows = _described(docs.select("doc_id", "text"), n, t)
+    classes = _classes(docs.select("doc_id", "text"), rows, n, t)
+    shared = rows.filter("shared").select("doc_id", "sig")
+    known = shared.join(_joinable(classes.withColumnRenamed("sig", "of")), F.col("sig") == F.col("of"), "left")
+    known = stored(known.select("doc_id", F.col("class_sig").isNotNull().alias("near"), ((F.col("least_sig") == F.col("sig")) & (F.col("class_id") == F.col("doc_id"))).alias("first")))
+    # most doc_ids have one row, and the id alone decides; the rows of the others are told apart by their texts
+    several = stored(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").join(known.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("gone")))
+    gone = stored(known.filter("near and not first").select(F.col("doc_id").alias("gone")).filter("gone is not null").union(several).distinct())
+    nulls = known.filter("doc_id is null").limit(1).count()
+    id_of = docs["doc_id"].cast("long")
+    left = docs.join(_joinable(gone), id_of == gone["gone"], "left_anti")
+    left = left.filter(docs["doc_id"].isNotNull()) if nulls else left
+    if not nulls and not several.limit(1).count():
+        return left
+    rest = docs.join(_joinable(several), id_of == several["gone"], "left_semi")
+    if nulls:
+        rest = rest.union(docs.filter(docs["doc_id"].isNull()))
+    columns = docs.columns
+    rest = rest.select(F.struct(*(rest[f"`{c}`"] for c in columns)).alias("row"), rest["doc_id"].cast("long").alias("id"), _signature(rest["text"], n).alias("own"))
+    empty = rest.filter("own = 0")
+    rest = rest.filter("own <> 0").groupBy("id", "own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    rest = rest.join(_joinable(classes), F.col("own") == F.col("sig"), "left").filter((F.col("sig").isNull()) | (F.col("least_sig") == F.col("own")) & F.col("class_id").eqNullSafe(F.col("id")))
+    return left.union(rest.select("row").union(empty.select("row")).select("row.*"))
+
+
+#: The same rows in SQL, by counting shared n-grams and following joins from set to set.
 SQL = f"""
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL) d),
-g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - {N - 1}) + 1), lambda i: array_to_string(w[i : i + {N - 1}], ' ')))) AS s FROM words WHERE len(w) > 0),
-sets AS (SELECT s, min(doc_id) AS doc_id, len(s) AS size FROM g GROUP BY s),
-e AS (SELECT doc_id, size, unnest(s) AS gram FROM sets),
-near AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*)::DOUBLE / (any_value(a.size) + any_value(b.size) - count(*)) AS j
-  FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_id_a, doc_id_b, round(j, 6) AS jaccard FROM near WHERE j >= {T} - 1e-9
-UNION ALL SELECT DISTINCT sets.doc_id, g.doc_id, 1.0::DOUBLE FROM g JOIN sets USING (s) WHERE g.doc_id > sets.doc_id"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+texts AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - {N - 1}) + 1), lambda i: array_to_string(w[i : i + {N - 1}], ' ')))) END AS s FROM words),
+sets AS (SELECT s, row_number() OVER () AS k, count(*) AS copies, len(s) AS size, min(doc_id) AS least FROM texts WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT k, size, unnest(s) AS gram FROM sets),
+near AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k
+  HAVING count(*) >= {T} * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-9),
+reach AS (SELECT k, k AS other FROM sets UNION SELECT reach.k, near.b FROM reach JOIN near ON near.a = reach.other),
+class AS (SELECT reach.k, min(least) AS class_id FROM reach JOIN sets ON sets.k = reach.other GROUP BY reach.k),
+links AS (SELECT a AS k, sum(copies) AS n FROM near JOIN sets ON sets.k = near.b GROUP BY a)
+SELECT doc_id, CASE WHEN len(texts.s) = 0 THEN doc_id ELSE class_id END AS class_id, CAST(coalesce(links.n, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
+FROM texts LEFT JOIN sets ON sets.s = texts.s LEFT JOIN class ON class.k = sets.k LEFT JOIN links ON links.k = sets.k"""
