@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opinionlab.llm import mixing, ngram_join, pieces, quality, secrets
-from opinionlab.llm.tables import documents, stored
+from opinionlab.llm.tables import bound_batches, documents, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import stored
+from .tables import give_back, stored
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -68,6 +68,8 @@ def n_tokens(text: Column) -> Column:
                 sums = np.concatenate([[0], np.cumsum(begins)])
                 out[first:last] = sums[bounds[1:]] - sums[bounds[:-1]]
                 first = last
+        del plain
+        give_back()
         return pa.array(out)
 
     return count(text)

@@ -5,19 +5,26 @@ between non-blanks, dotted and colon-separated number groups, runs of digits
 with separators, national and account number shapes.  Boosted trees score each
 span from its format (lengths, digit groups, check digits, valid octets and
 domains) and its context (neighbouring characters and words).  Scores are
-calibrated by isotonic regression on held-out spans, and a span is selected if
-its probability reaches its kind's threshold, the least at which held-out
-precision is at least ``precision``.  Of overlapping selected spans the likelier
+calibrated by isotonic regression on the spans of texts of another kind, and a
+span is selected if its probability reaches its kind's threshold, the least at
+which precision there is at least ``precision``.  Of overlapping selected spans the likelier
 stays, then the longer, then the earlier.
 
-The trees are fitted here, on ``TRAINED`` spans that a seeded generator writes:
-personal data in the usual formats, and look-alikes such as versions, dates,
-amounts, measures, identifiers and decimals, in neutral, helpful and misleading
-contexts.  The trained model is a few kilobytes and goes with the tasks.
-
-Positions count code points; a text is searched whole.
-
-Defined results: null and empty texts have no spans; a null doc_id stays null;
+The trees are fitted here, on ``TRAINED`` spans that a seeded generator writes
+(``written``): personal data in the usual formats, plain runs of digits that only
+their context makes personal, and look-alikes such as versions, dates, amounts,
+measures, identifiers and decimals, in neutral, helpful and misleading contexts.
+Calibration and thresholds come from a generator of its own (``varied``: records,
+logs, tables and prose, several spans a line).  The trained model is a few
+kilobytes and goes with the tasks.
+
+Positions count code points; a text is searched whole, and addresses and runs of
+any length are proposed whole.  Phone numbers have at most 25 characters, cards
+19 digits, accounts 34, as their formats say; of longer runs the parts of such a
+format are proposed.
+
+Defined results: of overlapping spans that are equally likely, long and early the
+kind last by name stays; null and empty texts have no spans; a null doc_id stays null;
 repeated rows are reported each; an empty table gives an empty result; columns
 besides doc_id and text are ignored by ``find_pii`` and passed on by ``redact``.
 """
@@ -37,11 +44,11 @@ from pyspark.sql import functions as F
 TRAINED, SEED, PRECISION = 24_000, 5, 0.98
 KINDS = ["email", "ip", "phone", "card", "national", "account"]
 _GENERATORS = {
-    "email": re.compile(r"[\w.+\-%]{1,64}@[\w.\-]{1,255}"),
+    "email": re.compile(r"(?<![\w.+\-%])[\w.+\-%]+@[\w.\-]+"),
     "ip": re.compile(r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w]|\.\d)|(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])"),
     "phone": re.compile(r"(?<![\w.+])(?:\+|\(|00)?\d[\d\s().\-/]{5,22}\d(?![\w])"),
     "card": re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){11,18}(?![\w\-])"),
-    "national": re.compile(r"(?<![\w\-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w\-])"),
+    "national": re.compile(r"(?<![\w\-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w\-])"),
     "account": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
 }
 #: Java's pattern for texts that can hold a span at all: nothing narrower than what the generators match, so Unicode's digits and white space.
@@ -55,6 +62,8 @@ _WORDS = {
     "account": r"iban|account|bank|transfer|konto|compte|cuenta|swift",
     "against": r"version|release|order|invoice|isbn|serial|part|page|figure|section|chapter|build|ticket|issue|error|code|price|total|sum|amount|km|kg|eur|usd|percent|score|population|date|year|model|sku|item|id\b",
 }
+#: The same as the last word before a span, or with a short one between.
+_LAST = {k: re.compile(rf"(?i:(?<!\w)(?:{p})\w{{0,3}}\W{{0,3}}(?:(?:me|us|him|her|on|at|to|is|no|number|account)\W{{1,3}})?)$") for k, p in _WORDS.items()}
 _WORDS = {k: re.compile(rf"(?i:{p})") for k, p in _WORDS.items()}
 _TLD = re.compile(r"\.[A-Za-z]{2,24}$")
 
@@ -77,7 +86,7 @@ def _shape(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3 if c in ".,;:!?" else 4 if c in "\"'()[]<>" else 5
 
 
-FEATURES = ["kind", "length", "digits", "groups", "longest", "shortest", "luhn", "octets", "iban", "tld", "local_letters", "dots", "plus", "brackets", "spaces", "dashes", "slashes", "same", "lead", "year", "before", "after", "own_word", "against", "valid_plan", "colons", "hex_letters", "first_group", "domain_labels"]
+FEATURES = ["kind", "length", "digits", "groups", "longest", "shortest", "luhn", "octets", "iban", "tld", "local_letters", "dots", "plus", "brackets", "spaces", "dashes", "slashes", "same", "lead", "year", "before", "after", "own_word", "against", "valid_plan", "colons", "hex_letters", "first_group", "domain_labels", "own_last", "against_last"]
 
 
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
@@ -93,6 +102,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         KINDS.index(kind), len(own), len(digits), len(groups), max(sizes), min(sizes), len(digits) >= 12 and _luhn(digits), octets, kind == "account" and _iban(own), bool(_TLD.search(domain)),
         sum(c.isalpha() for c in local), own.count("."), own.startswith("+") or own.startswith("00"), own.count("(") - 2 * (own.count("(") != own.count(")")), own.count(" "), own.count("-"), own.count("/"), len(set(digits)) <= 2, int(digits[:1] or 0),
         any(len(g) == 4 and g[:2] in ("19", "20") for g in groups), _shape(text[start - 1 : start]), _shape(text[end : end + 1]), bool(_WORDS[kind].search(near)), bool(_WORDS["against"].search(near)), plan, own.count(":"), sum(c in "abcdefABCDEF" for c in own), sizes[0], domain.count(".") + 1,
+        bool(_LAST[kind].search(text[max(0, start - 40) : start])), bool(_LAST["against"].search(text[max(0, start - 40) : start])),
     ]
 
 
@@ -105,7 +115,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
         for m in pattern.finditer(text):
             own = m.group()
             tail = len(own) - len(own.rstrip(".-_/ :" if kind == "email" else ".-/ (\n\t"))
-            lines = own[: len(own) - tail].split("\n")  # no span runs over a line's end
+            lines = re.split("[\n\t]", own[: len(own) - tail])  # no span runs over a line's or a column's end
             at = m.start()
             for line in lines:
                 if line.startswith("(") and ")" not in line:
@@ -124,7 +134,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
 class Trees:
     """Boosted regression trees on binned features: logistic loss, leaf-wise Newton steps, depth-limited."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, least: float = 4.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 150, depth: int = 5, rate: float = 0.2, least: float = 4.0) -> None:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
         b = self._bins(x)
         self.base, self.rate, self.depth = float(np.log(y.mean() / (1 - y.mean()))), rate, depth
@@ -232,13 +242,19 @@ def written(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
         "national": [lambda: f"{digit(2)}-{digit(3)}-{digit(4)}", lambda: f"000-{digit(2)}-{digit(4)}", lambda: f"{rng.randint(900, 999)}-{digit(2)}-{digit(4)}"],
         "account": [lambda: rng.choice(["AB", "XK", "SN", "PN"]) + digit(rng.choice([10, 14, 18])), lambda: rng.choice(["DE", "GB"]) + digit(16)],
     }
-    lead = {"email": ["write to", "email:", "contact"], "ip": ["from", "host", "ip address"], "phone": ["call", "tel:", "phone"], "card": ["card", "visa", "paid with"], "national": ["ssn", "social security number"], "account": ["iban", "account", "transfer to"]}
+    # personal or not by what stands before them
+    bare = {
+        "phone": [lambda: f"{rng.randint(200, 999)} {rng.randint(200, 999)} {digit(4)}", lambda: f"{rng.randint(200, 999)}{rng.randint(200, 999)}{digit(4)}", lambda: f"0{digit(1)} {digit(2)} {digit(2)} {digit(2)} {digit(2)}", lambda: f"{rng.randint(200, 999)}-{digit(4)}", lambda: f"{rng.randint(2000000, 9999999)}", lambda: f"0{digit(9)}", lambda: f"1 {rng.randint(200, 999)} {digit(3)} {digit(4)}"],
+        "national": [lambda: f"{rng.randint(100, 665)}{digit(2)}{rng.randint(1000, 9999)}"],
+    }
+    lead = {"email": ["write to", "email:", "contact"], "ip": ["from", "host", "ip address"], "phone": ["call", "tel:", "phone", "mobile", "call me on", "fax:", "text"], "card": ["card", "visa", "paid with"], "national": ["ssn", "social security number", "ssn:"], "account": ["iban", "account", "transfer to"]}
     against = ["version", "order", "invoice no.", "isbn", "page", "build", "ticket", "serial", "total", "model", "item", "section"]
     out = []
     while len(out) < n:
         kind, personal = rng.choice(KINDS), rng.random() < 0.5
-        own = rng.choice((good if personal else bad)[kind])()
-        r = rng.random()
+        plain = kind in bare and rng.random() < 0.4
+        own = rng.choice((bare if plain else good if personal else bad)[kind])()
+        r = (0.0 if personal else rng.choice([0.99, 0.5 if own.isdigit() else 0.99])) if plain else rng.random()
         before = " ".join([name(2, 8).capitalize(), *(name(2, 8) for _ in range(rng.randint(0, 6)))]) if rng.random() < 0.9 else ""
         word = rng.choice(lead[kind]) if r < (0.25 if personal else 0.08) else rng.choice(against) if r > (0.97 if personal else 0.7) else ""
         text = " ".join(x for x in (before, word) if x)
@@ -250,24 +266,75 @@ def written(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     return out
 
 
-@lru_cache(maxsize=2)
-def model(n: int = TRAINED, seed: int = SEED, precision: float = PRECISION) -> tuple[Trees, np.ndarray, np.ndarray, dict[str, float]]:
-    """(trees, calibration scores, calibrated probabilities, threshold by kind)."""
+def varied(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """n lines of records, logs, tables, lists and prose with personal data and other numbers side by side, and the personal spans."""
+    rng = random.Random(seed)
+    pick, num = rng.choice, rng.randint
+    names, towns = ["Ana Ruiz", "J. Smith", "Marie Dubois", "K. Weber", "Li Na", "Tom O'Neil"], ["Lyon", "Bonn", "Sevilla", "Leeds", "Austin"]
+    card = lambda: next(x for x in iter(lambda: f"{pick('345')}{num(0, 10**15 - 1):015d}", None) if _luhn(x))
+
+    def account() -> str:
+        land, body = pick(["DE", "ES", "FR"]), f"{num(0, 10**18 - 1):018d}"
+        return next(x for x in (f"{land}{k:02d}{body}" for k in range(2, 99)) if _iban(x))
+
+    yes = {
+        "mail": lambda: f"{pick(['ana', 'tom.k', 'marie_d', 'li-na', 'x9', 'info'])}{pick(['', num(1, 99)])}@{pick(['mail', 'post', 'uni', 'web'])}{pick(['', '.co', '-box'])}.{pick(['com', 'de', 'fr', 'es', 'org', 'net'])}",
+        "host": lambda: f"{num(1, 223)}.{num(0, 255)}.{num(0, 255)}.{num(1, 254)}",
+        "phone": lambda: pick([f"+{pick([33, 34, 49, 44, 1])} {num(100, 999)} {num(100, 999)} {num(100, 9999)}", f"({num(201, 989)}) {num(200, 999)}-{num(1000, 9999)}", f"{num(201, 989)}-{num(200, 999)}-{num(1000, 9999)}", f"+{num(1, 98)}{num(10**8, 10**10)}"]),
+        "dial": lambda: pick([f"{num(201, 989)} {num(200, 999)} {num(1000, 9999)}", f"0{num(1, 7)} {num(10, 99)} {num(10, 99)} {num(10, 99)} {num(10, 99)}", f"{num(2010000000, 9899999999)}", f"{num(200, 999)}-{num(1000, 9999)}"]),
+        "card": lambda: pick([card, lambda: " ".join(re.findall("....", card()))])(),
+        "ssn": lambda: f"{num(100, 665)}-{num(10, 99)}-{num(1000, 9999)}",
+        "iban": lambda: pick([account, lambda: " ".join(re.findall(".{1,4}", account()))])(),
+    }
+    no = {
+        "day": lambda: pick([f"{num(1990, 2029)}-{num(1, 12):02d}-{num(1, 28):02d}", f"{num(1, 28):02d}.{num(1, 12):02d}.{num(1990, 2029)}"]), "time": lambda: f"{num(0, 23):02d}:{num(0, 59):02d}:{num(0, 59):02d}", "sum": lambda: pick([f"{num(1, 999)},{num(0, 999):03d}.{num(0, 99):02d}", f"{num(1, 99)} {num(100, 999)} {num(100, 999)}", f"{num(1000000, 99999999)}"]),
+        "order": lambda: pick([f"{num(10**7, 10**9)}", f"{num(1000, 9999)}-{num(100000, 999999)}", f"{pick(['AB', 'INV', 'SN'])}{num(10**9, 10**11)}"]), "version": lambda: pick([f"{num(0, 20)}.{num(0, 40)}.{num(256, 9000)}.{num(0, 9)}", f"{num(0, 20)}.{num(0, 40)}.{num(0, 99)}"]), "tag": lambda: pick([f"@{pick(['news', 'team', 'dev'])}", f"pkg@{num(1, 9)}.{num(0, 9)}.{num(0, 9)}", f"a @ {num(1, 99)}"]),
+        "long": lambda: next(x for x in iter(lambda: f"{num(10**15, 10**16 - 1)}", None) if not _luhn(x)), "isbn": lambda: f"978-{num(0, 9)}-{num(1000, 9999)}-{num(1000, 9999)}-{num(0, 9)}", "size": lambda: f"{num(100, 999999)}", "who": lambda: pick(names), "town": lambda: pick(towns),
+    }
+    lines = [
+        "{who};{town};{mail};{phone}", "Tel.: {dial} | E-Mail: {mail}", "Please call {who} on {dial} before {time}.", "{day}T{time}Z {host} GET /index.html 200 {size}", "Order no. {order} of {day}, total {sum} EUR, paid with card {card}", "version {version} of {day} mends issue {order}",
+        "{who} ({town}) - mobile {dial} - fax {phone}", "IBAN {iban}, {who}", "SSN: {ssn}; born {day}", "ISBN {isbn}, {sum} copies sold, see page {order}", "ping from {host} at {time}, build {version}", "{sum} people live in {town}; in {day} there were {sum}", "invoice {order}\t{day}\t{sum}\t{long}", "ask {tag} or {mail}, release {version}",
+        "transfer to account {iban} by {day}", "serial {long}, model {order}, {tag}", "phone {dial}, ticket {order}", "{town} {day} {time}: {sum}", "\"{who}\",\"{card}\",\"{ssn}\"", "{tag} said {sum} of {sum}, item {order}",
+    ]
+    out = []
+    for _ in range(n):
+        text, spans = "", []
+        for part in re.split(r"(\{\w+\})", rng.choice(lines)):
+            own = part
+            if part.startswith("{"):
+                own = str((yes.get(part[1:-1]) or no[part[1:-1]])())
+                if part[1:-1] in yes:
+                    spans.append((len(text), len(text) + len(own)))
+            text += own
+        out.append((text, spans))
+    return out
+
+
+def _spans(texts: list[tuple[str, list[tuple[int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, truth) of every proposed span."""
     x, y = [], []
-    for text, spans in written(n, seed):
+    for text, spans in texts:
         for kind, a, b in candidates(text):
             x.append(features(kind, text, a, b))
             y.append((a, b) in spans)
-    x, y = np.array(x, np.float64), np.array(y, np.float64)
-    held = np.random.default_rng(seed).random(len(y)) < 0.3
-    trees = Trees(x[~held], y[~held])
-    score, truth, kind_of = trees.score(x[held]), y[held], x[held, 0]
+    return np.array(x, np.float64), np.array(y, np.float64)
+
+
+@lru_cache(maxsize=2)
+def model(n: int = TRAINED, seed: int = SEED, precision: float = PRECISION) -> tuple[Trees, np.ndarray, np.ndarray, dict[str, float]]:
+    """(trees, calibration scores, calibrated probabilities, threshold by kind)."""
+    trees = Trees(*_spans(written(n, seed)))
+    x, truth = _spans(varied(n // 3, seed + 1))
+    score, kind_of = trees.score(x), x[:, 0]
     at, value = isotonic(score, truth)
     p = np.interp(score, at, value)
     thresholds = {}
     for k, kind in enumerate(KINDS):
         own = kind_of == k
-        thresholds[kind] = next((float(t) for t in np.unique(np.concatenate([[0.3], value[value >= 0.3]])) if (own & (p >= t)).any() and truth[own & (p >= t)].mean() >= precision), 1.0)
+        good = [float(t) for t in np.unique(p[own]) if truth[own & (p >= t)].mean() >= precision]
+        # between the least probability that is precise enough and the next below it
+        below = p[own & (p < good[0])] if good else p[:0]
+        thresholds[kind] = (good[0] + float(below.max(initial=0.0))) / 2 if good else 1.0
     return trees, at, value, thresholds
 
 

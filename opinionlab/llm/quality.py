@@ -1,32 +1,40 @@
 """Operator 8, quality classifier: positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are the documents labelled quality 1; unlabelled are the
+Trusted positives are the documents labelled quality 1; unlabelled are all
 documents without a label (labels of quality 0 are never trained on, they only
 measure the result in tests).  Each text is described by shares of byte classes
-and by statistics of its words.  A small network g minimises
+and by statistics of its words, and these by ``UNITS`` seeded random tanh units,
+themselves and a constant.  A function g, linear in these, minimises
 
-    prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),  l(z) = 1 / (1 + exp(z))
+    prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),  l(z) = (1 - z)^2 / 4
 
-stepping backwards on the second term where it is negative.  The class prior is
-estimated from a positive-against-unlabelled discriminator: the least ratio of
-the share of unlabelled to the share of positive documents above a score.  A
-document is kept where g >= threshold; the threshold is 0 or, if lower, the
-score that ``keep_rate`` of held-out trusted positives reach.
+plus ``DECAY`` |w|^2 / 4, over every positive and every unlabelled document: with
+this loss the risk depends on the rows only by their number, mean and second
+moments, which Spark sums.  It equals the greatest value over 0 <= c <= 1 of
+prior * E_P[l(g)] + c * (E_U[l(-g)] - prior * E_P[l(-g)]), which is convex in w for
+each c, so its least value is where the best w for c = 1 keeps the second term at
+0 or above, or else at the c that brings it to 0, found by bisection.
 
-Fitting uses at most ``max_positive`` and ``max_unlabelled`` documents, those
-with the least hashes of doc_id; scoring covers every document.
+The class prior is estimated from a positive-against-unlabelled discriminator:
+the least ratio of the share of unlabelled to the share of positive documents
+above a score.  A document is kept where g >= threshold; the threshold is 0 or,
+if lower, the score that ``keep_rate`` of held-out trusted positives reach.  A
+fifth of the documents, by a hash of doc_id, is held out for both; their scores
+are counted in ``BINS`` bins.
 
 Defined results: a null text or one without words has score 0 and is not kept;
-with fewer than ``min_positive`` positives or unlabelled documents there is no
-model, score is 0 and every document with words is kept; a null doc_id is
-scored but never used in fitting; repeated rows get equal results; an empty
-table gives an empty result; further columns are passed on by ``filter_quality``
-and ignored by ``quality_scores``.
+texts are described whole, however long; without any positive or any unlabelled
+document with words there is no model, score is 0 and every document with words
+is kept; a null doc_id is scored but never used in fitting; repeated rows count
+each and get equal results; a document labelled both 1 and 0 counts as
+positive; equal scores are kept or not alike; an empty table gives an empty
+result; further columns are passed on by ``filter_quality`` and ignored by
+``quality_scores``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
+from .tables import discard, stored
 
 CLASSES = ["upper", "lower", "digit", "high", "space", "newline", "stop", "comma", "bang", "mark", "bar", "other"]
 FEATURES = [*CLASSES, "log_words", "word_length", "distinct", "repeated", "line_words", "caps_words", "long_words"]
@@ -78,142 +87,225 @@ def _chunk(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (np.concatenate([shares, more], 1) * (total > 0)[:, None]).astype(np.float32)
 
 
+#: Random units, their seed, weight decay, bins of held-out scores, and where those end.
+UNITS, SEED, DECAY, BINS, ENDS = 128, 3, 1e-3, 8192, 4.0
+WORDS = FEATURES.index("log_words")
+
+
 @dataclass
 class Model:
-    """g(x) = tanh(z A + a) B + b over standardised, clipped features z."""
+    """g(x) = w . units(x)."""
 
     centre: np.ndarray
     scale: np.ndarray
-    a: np.ndarray
-    a0: np.ndarray
-    b: np.ndarray
-    b0: float
+    w: np.ndarray
     threshold: float = 0.0
     prior: float = 1.0
 
-    def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.centre) / self.scale, -6, 6)
-
     def score(self, x: np.ndarray) -> np.ndarray:
         # row by row the same sum, whatever the batch
-        hidden = np.tanh(np.einsum("ij,jk->ik", self.standard(x.astype(np.float64)), self.a) + self.a0)
-        return np.einsum("ij,j->i", hidden, self.b) + self.b0
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def _train(zp: np.ndarray, zu: np.ndarray, risk: str, prior: float, seed: int, epochs: int, hidden: int = 12, rate: float = 0.01, decay: float = 1e-3) -> list[np.ndarray]:
-    """Adam over minibatches; risk: "pu" (non-negative risk) or "pn" (logistic discriminator of P and U)."""
-    rng = np.random.default_rng(seed)
-    w = [rng.normal(0, 0.3, (zp.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
-    m, v, step = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
-    size = 512
-    batches = max(1, (len(zp) + len(zu)) // (2 * size))
-    for _ in range(max(epochs, 600 // batches)):
-        for ps, us in zip(np.array_split(rng.permutation(len(zp)), batches), np.array_split(rng.permutation(len(zu)), batches), strict=True):
-            if not len(ps) or not len(us):
-                continue
-            x = np.concatenate([zp[ps], zu[us]])
-            h = np.tanh(x @ w[0] + w[1])
-            g = h @ w[2] + w[3]
-            gp, gu = g[: len(ps)], g[len(ps) :]
-            if risk == "pn":
-                dg = np.concatenate([-(1 - _sigmoid(gp)) / len(ps), _sigmoid(gu) / len(us)])
-            else:
-                sp, su = _sigmoid(gp), _sigmoid(gu)  # l(-g) = sigmoid(g), l(g) = 1 - sigmoid(g)
-                negative = su.mean() - prior * sp.mean()
-                slope_p, slope_u = sp * (1 - sp) / len(ps), su * (1 - su) / len(us)
-                dg = np.concatenate([-2 * prior * slope_p, slope_u]) if negative >= 0 else np.concatenate([prior * slope_p, -slope_u])
-            dh = dg[:, None] * w[2] * (1 - h * h)
-            grad = [x.T @ dh + decay * w[0], dh.sum(0), h.T @ dg + decay * w[2], dg.sum(keepdims=True)]
-            step += 1
-            for i, d in enumerate(grad):
-                m[i] = 0.9 * m[i] + 0.1 * d
-                v[i] = 0.999 * v[i] + 0.001 * d * d
-                w[i] = w[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return w
+        return np.einsum("ij,j->i", units(x, self.centre, self.scale), self.w)
+
+
+def units(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What g is linear in: a constant, the standardised and clipped features, and random tanh units of them."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.normal(0, 1 / np.sqrt(len(FEATURES)), (len(FEATURES), UNITS)), rng.normal(0, 1, UNITS)
+    z = np.clip((x.astype(np.float64) - centre) / scale, -6, 6)
+    return np.concatenate([np.ones((len(z), 1)), z / 3, np.tanh(np.einsum("ij,jk->ik", z, a) + b)], 1)
+
+
+@dataclass
+class Moments:
+    """Number, sum and sum of outer products of rows."""
+
+    n: float
+    one: np.ndarray
+    two: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Moments:
+        return cls(float(len(rows)), rows.sum(0), rows.T @ rows)
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.one + other.one, self.two + other.two)
+
+    def mean(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.one / self.n, self.two / self.n
+
+
+def risks(w: np.ndarray, p: Moments, u: Moments, prior: float) -> tuple[float, float]:
+    """(prior * E_P[l(g)], E_U[l(-g)] - prior * E_P[l(-g)]) of g = w . units."""
+    (p1, p2), (u1, u2) = p.mean(), u.mean()
+    loss = lambda sign, one, two: (1 - 2 * sign * w @ one + w @ two @ w) / 4
+    return prior * loss(1, p1, p2), loss(-1, u1, u2) - prior * loss(-1, p1, p2)
+
+
+def least_risk(p: Moments, u: Moments, prior: float) -> np.ndarray:
+    """The w of least non-negative risk, decay included."""
+    (p1, p2), (u1, u2) = p.mean(), u.mean()
+    decay = DECAY * np.eye(len(p1))
+
+    def best(c: float) -> np.ndarray:
+        return np.linalg.solve(prior * (1 - c) * p2 + c * u2 + decay, prior * (1 + c) * p1 - c * u1)
+
+    if risks(best(1.0), p, u, prior)[1] >= 0:
+        return best(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        c = (low + high) / 2
+        low, high = (c, high) if risks(best(c), p, u, prior)[1] >= 0 else (low, c)
+    return best(low)
+
+
+def discriminator(p: Moments, u: Moments) -> np.ndarray:
+    """The w that tells positive from unlabelled rows with the least mean squared loss, both kinds counting alike."""
+    (p1, p2), (u1, u2) = p.mean(), u.mean()
+    return np.linalg.solve((p2 + u2) / 2 + DECAY * np.eye(len(p1)), (p1 - u1) / 2)
+
+
+def _ratio(above_p: np.ndarray, above_u: np.ndarray, n_p: float, n_u: float) -> float:
+    slack = (np.sqrt(above_u / n_u) + np.sqrt(above_p / n_p)) / 4
+    return float(np.clip(((above_u + slack) / above_p).min(), 0.05, 0.99))
 
 
 def estimate_prior(sp: np.ndarray, su: np.ndarray, least: float = 0.1) -> float:
     """Share of positives among unlabelled: min over scores t of P_U(score >= t) / P_P(score >= t), where at least ``least`` of P lie above t."""
-    sp, su = np.sort(sp), np.sort(su)
-    cuts = sp[: max(1, int(len(sp) * (1 - least)))]
-    above_p = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
-    above_u = 1 - np.searchsorted(su, cuts, "left") / len(su)
-    slack = (np.sqrt(above_u / len(su)) + np.sqrt(above_p / len(sp))) / 4
-    return float(np.clip(((above_u + slack) / above_p).min(), 0.05, 0.99))
+    edges = np.linspace(min(sp.min(), su.min()), max(sp.max(), su.max()) + 1e-9, BINS + 1)
+    return _prior(np.histogram(sp, edges)[0], np.histogram(su, edges)[0], least)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3, epochs: int = 20, keep_rate: float = 0.99, prior: float | None = None) -> Model:
-    """Fit on feature rows; a fifth of the positives is held out for the threshold and, with a fifth of the unlabelled, for the prior."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    centre, scale = both.mean(0), both.std(0) + 1e-6
-    z = lambda x: np.clip((x.astype(np.float64) - centre) / scale, -6, 6)
-    rng = np.random.default_rng(seed)
-    zp, zu = z(positive)[rng.permutation(len(positive))], z(unlabelled)[rng.permutation(len(unlabelled))]
-    kp, ku = max(1, len(zp) // 5), max(1, len(zu) // 5)
-    held_p, held_u, zp, zu = zp[:kp], zu[:ku], zp[kp:], zu[ku:]
-    of = lambda w, x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
-    if prior is None:
-        w = _train(zp, zu, "pn", 0.5, seed, epochs)
-        prior = estimate_prior(of(w, held_p), of(w, held_u))
-    w = _train(zp, zu, "pu", prior, seed + 1, epochs)
-    model = Model(centre, scale, w[0], w[1], w[2], float(w[3][0]), 0.0, prior)
-    model.threshold = min(0.0, float(np.quantile(of(w, held_p), 1 - keep_rate)))
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_unlabelled: int = 20_000, min_positive: int = 20, **how) -> Model | None:
-    """The model of docs(doc_id, text) and labels(doc_id, quality), or None where there is too little to fit."""
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    known = labels.select("doc_id", "quality").filter("doc_id is not null")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = ids.join(known.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").distinct().orderBy(*order).limit(max_positive).withColumn("of_p", F.lit(True))
-    rest = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*order).limit(max_unlabelled).withColumn("of_p", F.lit(False))
-    # the limits above bound what is sent to the executors
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.unionByName(rest)), "doc_id").select("doc_id", "of_p", "text")
+def _prior(p: np.ndarray, u: np.ndarray, least: float = 0.1) -> float:
+    """estimate_prior of counts by ascending bins of scores."""
+    above_p, above_u = p[::-1].cumsum()[::-1] / p.sum(), u[::-1].cumsum()[::-1] / u.sum()
+    good = above_p >= least
+    return _ratio(above_p[good], above_u[good], p.sum(), u.sum())
+
+
+def _bins(score: np.ndarray) -> np.ndarray:
+    return np.clip(((score + ENDS) * (BINS / (2 * ENDS))).astype(np.int64), 0, BINS - 1)
+
+
+def _summed(rows: DataFrame, make: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """The sum of make(role, x), an array of that width, over rows(role, x): by partition, then by ``SUMS`` tasks, then here."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += make(batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, len(FEATURES)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                total += np.frombuffer(own, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    parts = rows.select("role", "x").mapInArrow(part, "total binary").repartition(SUMS).mapInArrow(whole, "total binary")
+    return sum((np.frombuffer(r[0], np.float64) for r in parts.collect()), np.zeros(width))
+
+
+#: Tasks that add up the partitions' sums; each gives the driver one row of at most a few hundred kilobytes.
+SUMS = 8
+#: A row's role: positive or unlabelled, fitted on or held out.
+_P, _U, _HELD_P, _HELD_U = range(4)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of each row: its features as packed floats."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "of_p", "x"])
+            x = features(batch.column(1))
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 4 * len(FEATURES)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc_id", "x"])
 
-    rows = sample.mapInArrow(describe, "doc_id long, of_p boolean, x binary").toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-    if not len(rows):
-        return None
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), len(FEATURES))
-    x, p = x[x[:, FEATURES.index("log_words")] > 0], rows["of_p"].to_numpy(bool)[x[:, FEATURES.index("log_words")] > 0]
-    return fit(x[p], x[~p], **how) if min(p.sum(), (~p).sum()) >= min_positive else None
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, x binary")
 
 
-def judge(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-    """(score rounded to 6 digits, kept) of each text."""
-    x = features(texts)
-    full = x[:, FEATURES.index("log_words")] > 0
-    score = np.where(full, np.round(model.score(x), 6), 0.0) if model else np.zeros(len(x))
+def train(known: DataFrame, labels: DataFrame, keep_rate: float = 0.99, prior: float | None = None) -> Model | None:
+    """The model of known(doc_id, x), as ``described`` gives it, and labels(doc_id, quality), or None where there is nothing to fit."""
+    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    # labelled, but not 1: no part in it
+    role = F.when(F.col("id").isNull(), F.when(held, _HELD_U).otherwise(_U)).when(F.col("good"), F.when(held, _HELD_P).otherwise(_P))
+    rows = stored(known.filter("doc_id is not null").join(marks, F.col("doc_id") == F.col("id"), "left").select(role.cast("int").alias("role"), "x").filter("role is not null"))
+    d = len(FEATURES)
+
+    def scales(role: np.ndarray, x: np.ndarray) -> np.ndarray:
+        x = x[x[:, WORDS] > 0].astype(np.float64)
+        return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+    first = _summed(rows, scales, 2 * d + 1)
+    if not first[0]:
+        return None
+    centre = first[1 : d + 1] / first[0]
+    scale = np.sqrt(np.maximum(0, first[d + 1 :] / first[0] - centre**2)) + 1e-6
+    m = 1 + d + UNITS
+
+    def moments(role: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = []
+        for k in range(4):
+            own = Moments.of(units(x[(role == k) & (x[:, WORDS] > 0)], centre, scale))
+            out += [[own.n], own.one, own.two.ravel()]
+        return np.concatenate(out)
+
+    total = _summed(rows, moments, 4 * (1 + m + m * m)).reshape(4, -1)
+    by = [Moments(r[0], r[1 : m + 1], r[m + 1 :].reshape(m, m)) for r in total]
+    for kind, spare in ((_P, _HELD_P), (_U, _HELD_U)):  # tiny tables: what is held out is fitted on, or the other way round
+        if not by[kind].n + by[spare].n:
+            discard(rows)
+            return None
+        by[kind] = by[kind] if by[kind].n else by[spare]
+    spare = {k for k in (_HELD_P, _HELD_U) if by[k].n}
+
+    def counted(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def counts(role: np.ndarray, x: np.ndarray) -> np.ndarray:
+            good = x[:, WORDS] > 0
+            at = _bins(Model(centre, scale, w).score(x))
+            return np.concatenate([np.bincount(at[good & ((role == k) | (k not in spare) & (role == k - 2))], minlength=BINS) for k in (_HELD_P, _HELD_U)]).astype(np.float64)
+
+        return tuple(_summed(rows, counts, 2 * BINS).reshape(2, -1))
+
+    if prior is None:
+        prior = _prior(*counted(np.round(discriminator(by[_P], by[_U]), 9)))
+    w = np.round(least_risk(by[_P], by[_U], prior), 9)
+    p, _ = counted(w)
+    discard(rows)
+    low = int(np.searchsorted(p.cumsum(), (1 - keep_rate) * p.sum(), "right"))
+    return Model(centre, scale, w, min(0.0, low * (2 * ENDS / BINS) - ENDS), prior)
+
+
+def judge(x: np.ndarray, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """(score rounded to 6 digits, kept) of each row of features."""
+    full = x[:, WORDS] > 0
+    score = np.where(full, np.round(model.score(x), 6) + 0.0, 0.0) if model else np.zeros(len(x))
     return score, full & (score >= model.threshold) if model else full
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(doc_id, score, kept) of each row of docs."""
-    model = train(docs, labels, **how)
+    known = stored(described(docs))
+    model = train(known, labels, **how)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, kept = judge(batch.column(1), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array(kept)], names=["doc_id", "score", "kept"])
+            score, kept = judge(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, len(FEATURES)), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(kept)], names=["doc_id", "score", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double, kept boolean")
+    return known.mapInArrow(apply, "doc_id long, score double, kept boolean")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    model = train(docs, labels, **how)
+    known = stored(described(docs))
+    model = train(known, labels, **how)
+    discard(known)
 
     @F.arrow_udf("boolean")
     def kept(texts: pa.Array) -> pa.Array:
-        return pa.array(judge(texts, model)[1])
+        return pa.array(judge(features(texts), model)[1])
 
     return docs.filter(kept(docs["text"]))

@@ -10,13 +10,19 @@ from . import binary_ids, imatch, link_trust, mixing, ngram_join, pieces, pii, q
 from .tables import documents
 
 
+_TOPS = ("com", "net", "org")
+#: Operator 1's seeds among the hosts of the tables.
+BLOCKED = tuple(f"{name}.example.{top}" for name in ("cheap-pills", "adult-x", "free-bets", "casino-win", "spam-farm", "ads-track") for top in _TOPS)
+TRUSTED = tuple(f"{name}.example.{top}" for name in ("ththth", "thther", "ththon", "ththan") for top in _TOPS)
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/labels.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_link_trust_url_filter": lambda s, d: link_trust.filter_urls(s.read.parquet(f"{d}/pages.parquet")),
+        "op1_link_trust_url_filter": lambda s, d: link_trust.filter_urls(s.read.parquet(f"{d}/pages.parquet"), TRUSTED, BLOCKED),
         "op2_ngram_jaccard_join": lambda s, d: ngram_join.join(documents(s, d)),
         "op3_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
         "op4_source_mixing": lambda s, d: mixing.mix(documents(s, d)),
@@ -29,10 +35,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Beside the operators' queries, where those are held to their SQL."""
-    return {"op1_link_trust_settled": lambda s, d: link_trust.filter_urls_settled(s.read.parquet(f"{d}/pages.parquet"))}
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_link_trust_url_filter": link_trust.SQL, "op2_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k": topk.SQL, "op7_imatch_fingerprints": imatch.SQL}
+    return {"op1_link_trust_url_filter": link_trust.sql(TRUSTED, BLOCKED), "op2_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k": topk.SQL, "op7_imatch_fingerprints": imatch.SQL}

@@ -5,9 +5,13 @@ password, token or api_key, strings of providers' key formats, private-key
 blocks, and long mixed strings soon after a sensitive word.  Each one's novelty
 is its marginal compressed size: the bytes that zstandard needs for the
 surrounding text with the candidate in it, less those without it, the
-compressor being primed with a dictionary of code and identifiers.  Words, names
-and placeholders are in the dictionary or the surroundings and cost little; keys
-and tokens cost nearly their entropy.  A candidate is reported if its novelty is
+compressor being primed with a dictionary of code and identifiers: those that
+the corpus itself uses, counted over all its documents, the ``NAMES`` commonest
+of at least ``LEAST_USES`` (``identifiers``), and words of code.  Identifiers are
+of letters alone, several words joined by underscores or capitals, so that a key
+that many documents repeat doesn't become familiar.  Words, names and
+placeholders are in the dictionary or the surroundings and cost little; keys and
+tokens cost nearly their entropy.  A candidate is reported if its novelty is
 at least ``least_bytes`` and at least ``least_share`` of its length, or if that
 holds of its first HEAD characters; candidates have no greatest length.
 
@@ -16,7 +20,8 @@ is left out.  The whole text is searched; surroundings are ``window`` characters
 on either side.
 
 Defined results: null and empty texts have no candidates; a null doc_id stays
-null; repeated rows are reported each; an empty table gives an empty result;
+null; repeated rows are reported each; of identifiers that are equally common
+the first by name is taken; an empty table gives an empty result;
 ``redact`` passes other columns on, sets n_chars (where there is one) to the new
 length of the texts it changed, and leaves texts without findings as they are.
 """
@@ -25,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -45,7 +50,11 @@ HEAD = 512
 _COMPILED = {k: re.compile(p) for k, p in GENERATORS.items()}
 #: Java's pattern for texts that can hold a candidate at all.
 SUSPECT = r"(?i:pass|pwd|secret|token|key|auth|bearer|credential|connection[_-]?string)|A(?:KI|SI|GP|ID|RO)A[A-Z0-9]{16}|gh[pousr]_|github_pat_|xox[abprs]-|AIza|sk-|[sr]k_|eyJ|glpat-|npm_"
-#: What code and identifiers usually hold; novelty is measured against it.
+#: An identifier of several words, and the longest, in characters, that enters the dictionary.
+IDENTIFIER, LONGEST = r"(?<![A-Za-z0-9_])([A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])", 40
+#: Identifiers in the dictionary, at most 80 kilobytes in all, and how often each must occur.
+NAMES, LEAST_USES = 2000, 3
+#: What code usually holds; novelty is measured against it and the corpus's identifiers.
 DICTIONARY = (
     "import os sys json from return class function const let var def self this public private static void string null none true false undefined "
     "password passwd passphrase passcode secret token api_key apikey access_key secret_key private_key client_id client_secret auth authorization bearer credential credentials "
@@ -60,18 +69,33 @@ DICTIONARY = (
 _tools: dict = {}
 
 
-def novelty(text: str, start: int, end: int, window: int = 256) -> int:
+def identifiers(docs: DataFrame) -> bytes:
+    """The dictionary: the commonest identifiers of docs, the commonest last, where matches cost least, after DICTIONARY."""
+    names = docs.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(1))).alias("name")).filter(F.length("name") <= LONGEST)
+    top = names.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_USES).orderBy(F.desc("n"), "name").limit(NAMES).collect()
+    return DICTIONARY + " ".join(r["name"] for r in reversed(top)).encode()
+
+
+def _size(dictionary: bytes) -> Callable[[bytes], int]:
+    """Compressed sizes by a compressor primed with the dictionary, made once for each worker."""
+    if _tools.get("dictionary") != dictionary:
+        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=3)
+        compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        _tools.update(dictionary=dictionary, size=lambda b: len(compressor.compress(b)))
+    return _tools["size"]
+
+
+def novelty(text: str, start: int, end: int, window: int = 256, dictionary: bytes = DICTIONARY) -> int:
     """Marginal compressed bytes of text[start:end] in its surroundings."""
-    if not _tools:
-        primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _tools["size"] = lambda b, z=zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False): len(z.compress(b))
+    size = _size(dictionary)
     # the candidate's own repeats nearby would make it look familiar
     own, before, after = (x.encode("utf-8", "replace") for x in (text[start:end], text[max(0, start - window) : start], text[end : end + window]))
     before, after = before.replace(own, b""), after.replace(own, b"")
-    return _tools["size"](before + own + after) - _tools["size"](before + after)
+    return size(before + own + after) - size(before + after)
 
 
-def scan(text: str | None, least_bytes: int = 8, least_share: float = 0.42, window: int = 256) -> list[tuple[int, int, str, int]]:
+def scan(text: str | None, least_bytes: int = 8, least_share: float = 0.42, window: int = 256, dictionary: bytes = DICTIONARY) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, novelty) of the reported candidates, in order."""
     if not text:
         return []
@@ -83,9 +107,9 @@ def scan(text: str | None, least_bytes: int = 8, least_share: float = 0.42, wind
                 end -= len(text[start:end]) - len(text[start:end].rstrip(".,;:!*&#$%@"))
             if end - start >= 8 and all(end <= a or start >= b for a, b, _, _ in found):
                 enough = lambda new, end: new >= least_bytes and new >= least_share * len(text[start:end].encode("utf-8", "replace"))  # noqa: B023, E731
-                new, head = novelty(text, start, end, window), start + HEAD
+                new, head = novelty(text, start, end, window, dictionary), start + HEAD
                 # a dull end doesn't hide a long candidate
-                if enough(new, end) or end > head and enough(novelty(text, start, head, window), head):
+                if enough(new, end) or end > head and enough(novelty(text, start, head, window, dictionary), head):
                     found.append((start, end, kind, new))
     return sorted(found)
 
@@ -96,6 +120,7 @@ def suspects(text: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, start, end, kind, length, novelty, share, digest) of each secret; digest: the first 16 hexadecimal digits of its sha256."""
+    how.setdefault("dictionary", identifiers(docs))
     schema = "doc_id long, start long, end long, kind string, length long, novelty long, share double, digest string"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +139,7 @@ def scan_secrets(docs: DataFrame, **how) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **how) -> DataFrame:
     """docs with each secret in text replaced by mask."""
+    how.setdefault("dictionary", identifiers(docs))
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:

@@ -1,11 +1,12 @@
 """Operator 5, exact top-k search by norm-bucketed retrieval.
 
-For every vector, the k others of largest inner product.  Vectors are grouped by
-length into buckets, the longest first, and each bucket is sorted by length and
+For every vector whose id is divisible by ``every``, the k others of largest
+inner product among all vectors.  Vectors are grouped by length into buckets, the longest first, and each bucket is sorted by length and
 holds its unit vectors with each coordinate's order.  Queries go in blocks.  A
 first search, in the bucket of the longest vectors, gives each query a lower
-bound theta of its k-th product.  Then each block meets each bucket: the local
-cosine threshold theta / (|q| * longest) prunes the bucket where it is above 1,
+bound theta of its k-th product.  A block then meets the buckets whose longest
+vector reaches the least theta / |q| of its queries; the join leaves out the
+others.  In a bucket the local cosine threshold theta / (|q| * longest) prunes the bucket where it is above 1,
 and else chooses the way to candidates, per query:
 
 * coordinate pruning, where the threshold is high: a unit vector whose cosine
@@ -18,8 +19,9 @@ occur, and theta rises as they are found.  Products are rounded to 6 digits and
 ties go to the least id, so results don't depend on partitions; pruning keeps a
 margin of 2e-6 for that.
 
-Queries and vectors are the same table; each pair of a block and a bucket is a
-row of packed arrays, paired by Spark without a collect.
+Queries are rows of the same table; each pair of a block and a bucket is a row
+of packed arrays, paired by Spark without a collect, and a bucket is prepared
+once for the blocks that come to it in a task.
 
 Defined results: vectors that are null, empty, of another dimension than the
 table's commonest (the least such on ties), or hold a null, infinity or NaN are
@@ -41,8 +43,8 @@ from pyspark.sql.window import Window
 
 from .tables import stored
 
-K, BUCKET, BLOCK, MARGIN = 10, 4096, 2048, 2e-6
-_PACK = "kind int, number long, ids binary, vectors binary"
+K, EVERY, BUCKET, BLOCK, MARGIN = 10, 50, 4096, 2048, 2e-6
+_PACK = "longest double, number long, ids binary, vectors binary"
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -55,10 +57,10 @@ def clean(vectors: DataFrame) -> DataFrame:
     return own.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))
 
 
-def _packed(own: DataFrame, kind: int, size: int) -> DataFrame:
+def _packed(own: DataFrame, size: int, parts: int | None = None) -> DataFrame:
     """Rows of packed ids and vectors, numbered by length, the longest first."""
     # global ranks without one partition: range partitions are sorted, then numbered by their starts
-    parts = max(1, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = own.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +77,7 @@ def _packed(own: DataFrame, kind: int, size: int) -> DataFrame:
             yield give(ids, rows)
 
     def give(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(ids[0])], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())], names=["kind", "number", "ids", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((rows * rows).sum(1)).max())]), pa.array([int(ids[0])], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())], names=["longest", "number", "ids", "vectors"])
 
     return ranged.select("vec_id", "embedding").mapInArrow(pack, _PACK)
 
@@ -149,16 +151,18 @@ def _verified(q: int, own_id: int, query: np.ndarray, ids: np.ndarray, vectors:
         yield q, *_best(ids[good], products[good], k)
 
 
-def top_k(vectors: DataFrame, k: int = K, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(vec_id, rank, neighbour_id, product) of every vector, rank from 1."""
+def unpack(ids: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(packed, np.float64).reshape(len(own), -1)
+
+
+def pairs(vectors: DataFrame, k: int, every: int, bucket: int, block: int) -> DataFrame:
+    """(bucket, bucket_ids, bucket_vectors, query_ids, queries, theta): each bucket with each block of queries that may find something in it."""
     own = stored(clean(vectors))
-    buckets, blocks = stored(_packed(own, 0, bucket)), stored(_packed(own, 1, block))
+    buckets, blocks = stored(_packed(own, bucket)), _packed(own.filter(F.col("vec_id") % every == 0), block)
+    # one row of ``bucket`` vectors
     first = own.orderBy(F.desc("norm"), "vec_id").limit(bucket)
-    first = _packed(first.coalesce(1), 2, bucket).agg(F.first("ids").alias("first_ids"), F.first("vectors").alias("first_vectors"))
-
-    def unpack(ids: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        own = np.frombuffer(ids, np.int64)
-        return own, np.frombuffer(packed, np.float64).reshape(len(own), -1)
+    first = _packed(first, bucket, 1).agg(F.first("ids").alias("first_ids"), F.first("vectors").alias("first_vectors"))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = None
@@ -170,25 +174,34 @@ def top_k(vectors: DataFrame, k: int = K, bucket: int = BUCKET, block: int = BLO
                 for q, _, products in search(query_ids, queries, theta, longest, k):
                     if len(products) >= k:
                         theta[q] = products[k - 1]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.binary()), pa.array([packed], pa.binary()), pa.array([theta.tobytes()], pa.binary())], names=["number", "query_ids", "queries", "theta"])
+                norms = np.sqrt((queries * queries).sum(1))
+                # a product reaches theta only with a vector of at least that length; a zero query's products are 0 whatever the length
+                need = np.where(norms > 0, (theta - MARGIN) / np.where(norms > 0, norms, 1), np.where(theta <= MARGIN, -np.inf, np.inf)).min()
+                yield pa.RecordBatch.from_arrays([pa.array([float(need)]), pa.array([ids], pa.binary()), pa.array([packed], pa.binary()), pa.array([theta.tobytes()], pa.binary())], names=["need", "query_ids", "queries", "theta"])
+
+    bounded = stored(blocks.select("number", "ids", "vectors").crossJoin(F.broadcast(first)).mapInArrow(bounds, "need double, query_ids binary, queries binary, theta binary"))
+    return buckets.join(bounded, F.col("longest") >= F.col("need") - 1e-9).select(F.col("number").alias("bucket"), F.col("ids").alias("bucket_ids"), F.col("vectors").alias("bucket_vectors"), "query_ids", "queries", "theta")
+
 
-    bounded = stored(blocks.select("number", "ids", "vectors").crossJoin(F.broadcast(first)).mapInArrow(bounds, "number long, query_ids binary, queries binary, theta binary"))  # one row of ``bucket`` vectors
-    # every block with every bucket: packed rows, few enough that each pair is a task's unit of work
-    pairs = bounded.crossJoin(buckets.select("ids", "vectors"))
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(vec_id, rank, neighbour_id, product) of every vector whose id is divisible by ``every``, rank from 1."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ready = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, packed, theta, bucket_ids, bucket_vectors = (batch.column(c)[r].as_py() for c in range(1, 6))
+                if ready is None or batch.column(0)[r].as_py() != number:
+                    number, ready = batch.column(0)[r].as_py(), Bucket(*unpack(batch.column(1)[r].as_py(), batch.column(2)[r].as_py()))
+                ids, packed, theta = (batch.column(c)[r].as_py() for c in (3, 4, 5))
                 query_ids, queries = unpack(ids, packed)
-                found = list(search(query_ids, queries, np.frombuffer(theta, np.float64), Bucket(*unpack(bucket_ids, bucket_vectors)), k))
+                found = list(search(query_ids, queries, np.frombuffer(theta, np.float64), ready, k))
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(query_ids[[q for q, _, _ in found]], [len(i) for _, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([p for _, _, p in found]))],
                         names=["vec_id", "neighbour_id", "product"],
                     )
 
-    hits = pairs.mapInArrow(apply, "vec_id long, neighbour_id long, product double")
+    hits = pairs(vectors, k, every, bucket, block).mapInArrow(apply, "vec_id long, neighbour_id long, product double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("product"), "neighbour_id")).cast("long")
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "product")
 
@@ -196,5 +209,5 @@ def top_k(vectors: DataFrame, k: int = K, bucket: int = BUCKET, block: int = BLO
 #: The same rows in SQL.
 SQL = f"""
 WITH v AS (SELECT vec_id, max(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
-p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.e, b.e), 6) + 0.0 AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.e, b.e), 6) + 0.0 AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0)
 SELECT vec_id, rank, neighbour_id, product FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY product DESC, neighbour_id) AS rank FROM p) WHERE rank <= {K}"""

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +18,46 @@ def shingles(text, n=ngram_join.N):
     return {tuple(own[k : k + n]) for k in range(max(1, len(own) - n + 1))} if own else set()
 
 
-def brute_pairs(rows, t=ngram_join.T):
-    """(a, b, jaccard) of (doc_id, text): distinct sets under their least ids, copies with theirs."""
-    least, out = {}, set()
-    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        own = frozenset(shingles(text))
-        if own and own in least and least[own] != i:
-            out.add((least[own], i, 1.0))
-        elif own:
-            least.setdefault(own, i)
-    sets = sorted(least.items(), key=lambda x: x[1])
-    for k, (a, i) in enumerate(sets):
-        for b, j in sets[k + 1 :]:
-            both = len(a & b)
-            if i < j and both >= t * (len(a) + len(b) - both) - 1e-9:
-                out.add((i, j, round(both / (len(a) + len(b) - both), 6)))
-    return out
+def brute_classes(rows, t=ngram_join.T):
+    """Sorted (doc_id, class_id, n_links) of (doc_id, text), by comparing all pairs of sets."""
+    texts = {(i, frozenset(shingles(text))) for i, text in rows}
+    sets = sorted({s for _, s in texts if s}, key=lambda s: sorted(s))
+    of = {s: k for k, s in enumerate(sets)}
+    copies, root = [0] * len(sets), list(range(len(sets)))
+    links = [0] * len(sets)
+    for _, s in texts:
+        if s:
+            copies[of[s]] += 1
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(k)
+    for k, s in enumerate(sets):
+        both = {}
+        for g in s:
+            for j in holders[g]:
+                both[j] = both.get(j, 0) + 1
+        for j, n in both.items():
+            if j != k and n >= t * (len(s) + len(sets[j]) - n) - 1e-9:
+                links[k] += copies[j]
+                root[find(j)] = find(k)
+    least = {}
+    for i, s in texts:
+        if s and i is not None:
+            c = find(of[s])
+            least[c] = min(i, least.get(c, i))
+    out = [(i, least.get(find(of[s])) if s else i, links[of[s]] + copies[of[s]] - 1 if s else 0) for i, s in texts]
+    return sorted(out, key=str)
+
+
+def joined(df, **how):
+    return sorted((tuple(r) for r in ngram_join.join(df, **how).collect()), key=str)
 
 
 def test_grams_by_hand():
@@ -75,49 +100,88 @@ def test_join_same_as_sql(spark, small, same):
     same(registry.queries()["op2_ngram_jaccard_join"](spark, small), registry.oracle_sql()["op2_ngram_jaccard_join"])
 
 
-def test_join_recall_near_the_threshold(spark):
+def test_join_near_the_threshold(spark):
+    """Many pairs of about the least similarity: none is missed, none is added."""
     rng = random.Random(1)
     rows, word = [], lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    for g in range(120):
-        own = [word() for _ in range(120)]
+    for g in range(150):
+        own = [word() for _ in range(rng.randint(40, 160))]
         rows.append((2 * g, " ".join(own)))
-        for k in rng.sample(range(120), rng.randint(6, 12)):
+        for k in rng.sample(range(len(own)), max(1, len(own) * rng.randint(8, 18) // 100)):
             own[k] = word()
         rows.append((2 * g + 1, " ".join(own)))
-    want = brute_pairs(rows)
-    got = {tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want) > 50 and sum(j < 0.65 for _, _, j in want) > 20
+    want = brute_classes(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == want and 60 < sum(n for _, _, n in want) < 290
 
 
-def test_join_of_a_large_group(spark):
+def test_join_of_a_chain(spark):
+    """Each set joins the next only; the whole chain is one class."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[12 * k : 12 * k + 60])) for k in range(25)]
+    want = brute_classes(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert {c for _, c, _ in want} == {0} and max(n for _, _, n in want) == 2
+
+
+@pytest.fixture(scope="module")
+def family():
     rng = random.Random(2)
     base = [f"w{k}" for k in range(80)]
     rows = []
     for i in range(300):
         own = list(base)
         own[rng.randrange(80)] = f"e{i % 250}"
+        if i % 3:
+            own[rng.randrange(80)] = f"f{i % 250}"
         rows.append((i, " ".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in ngram_join.join(df).collect()} == brute_pairs(rows)
-    assert [r["doc_id"] for r in ngram_join.deduplicate(df).collect()] == [0]
+    return rows + [(1000 + i, " ".join(f"x{i}y{k % 7}z{rng.randrange(40)}" for k in range(60))) for i in range(100)]
+
+
+def test_join_of_a_large_group(spark, family):
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    assert joined(df) == brute_classes(family)
+    assert sorted(r["doc_id"] for r in ngram_join.deduplicate(df).collect()) == [0, *range(1000, 1100)]
+
 
+def test_join_of_shards(spark, family, docs, monkeypatch):
+    """A block of many shards, chunks and buckets of a few rows, gives the same."""
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    whole = joined(docs)
+    for name, value in (("BLOCK_SETS", 7), ("CHUNK_GRAMS", 900), ("SET_GRAMS", 500), ("BUCKET_GRAMS", 300)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert joined(df) == brute_classes(family) and joined(docs) == whole
 
-def test_join_odd_rows(odd, none):
-    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").distinct().collect()]
-    got = {tuple(r) for r in ngram_join.join(odd).collect()}
-    assert (4, 5, 1.0) in got and got == brute_pairs([r for r in rows if r[0] != 6]) and ngram_join.join(none).count() == 0
+
+def test_join_of_boilerplate(spark):
+    """A passage that a third of the texts share is in no way a hot key, and joins nothing by itself."""
+    rng = random.Random(9)
+    passage = " ".join(f"law{k}" for k in range(40))
+    rows = [(i, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(rng.choice([45, 60, 30]))), *([passage] if i % 3 else [])])) for i in range(240)]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+    chunks = ngram_join._written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 4).collect()
+    assert sum(r["n"] for r in chunks if r["bucket"] >= 0) == len({g for _, t in rows for g in shingles(t)})
+
+
+def test_join_odd_rows(spark, odd, none):
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    assert joined(odd) == brute_classes(rows) and ngram_join.join(none).count() == 0
     left = ngram_join.deduplicate(odd)
     assert left.columns == odd.columns and left.count() == odd.count() - 2
     assert {r["doc_id"] for r in odd.collect()} - {r["doc_id"] for r in left.collect()} == {5}
     assert ngram_join.deduplicate(none).count() == 0
+    same = "these are the very same words under every id here"
+    more = [(None, same), (None, same), (None, same + " and"), (None, "quite other words without an id at all"), (1, "first words under one id"), (1, "first words under one id"), (1, "more words, others, under one id"), (2, "more words, others, under one id!"), (3, ""), (3, ""), (None, None)]
+    df = spark.createDataFrame(more, "doc_id long, text string")
+    assert joined(df) == brute_classes(more)
+    kept = sorted((tuple(r) for r in ngram_join.deduplicate(df).collect()), key=str)
+    assert [r for r in kept if r[0] is not None] == [(1, "first words under one id"), (1, "more words, others, under one id"), (3, ""), (3, "")]
+    assert {r[1] for r in kept if r[0] is None} - {same, same + " and"} == {None, "quite other words without an id at all"} and len(kept) == 7
 
 
 def test_join_beyond_a_broadcast(docs, monkeypatch):
-    want = sorted(tuple(r) for r in ngram_join.join(docs).collect())
-    kept = sorted(r["doc_id"] for r in ngram_join.deduplicate(docs).collect())
+    want, kept = joined(docs), sorted(r["doc_id"] for r in ngram_join.deduplicate(docs).collect())
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    assert sorted(tuple(r) for r in ngram_join.join(docs).collect()) == want
-    assert sorted(r["doc_id"] for r in ngram_join.deduplicate(docs).collect()) == kept
+    assert joined(docs) == want and sorted(r["doc_id"] for r in ngram_join.deduplicate(docs).collect()) == kept
 
 
 PLANTED = [
@@ -158,10 +222,85 @@ def test_secrets_in_documents(docs):
     assert {(r["doc_id"], r["start"], r["end"]) for r in secrets.scan_secrets(docs).collect()} == want
 
 
-def test_secret_scan_by_force(odd, none):
+NAMED = "password passwd passphrase passcode pass pwd secret token apikey api_key api-key accesskey access_key access-key privatekey private_key private-key clientsecret client_secret client-secret authorization auth bearer credentials credential signingkey signing_key signing-key encryptionkey encryption_key encryption-key connectionstring connection_string connection-string".split()
+KEPT = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.~!@#$%^&*")
+
+
+def brute_assigned(text):
+    """Spans of values after a sensitive name and a sign of assignment, character by character, without a regular expression."""
+    out, lower = set(), text.lower()
+    for at in range(len(text)):
+        for name in NAMED:
+            if not lower.startswith(name, at):
+                continue
+            for tail in range(21):  # more of the name
+                end = at + len(name) + tail
+                if any(not (c.isalnum() or c in "_-") for c in text[at + len(name) : end]):
+                    break
+                for quote in (0, 1):
+                    if quote and text[end : end + 1] not in ("'", '"'):
+                        continue
+                    k = end + quote
+                    k += min(3, len(text[k : k + 3]) - len(text[k : k + 3].lstrip()))
+                    sign = next((s for s in ("=>", ":=", "=", ":") if text.startswith(s, k)), None)
+                    if sign is None:
+                        continue
+                    k += len(sign)
+                    k += min(3, len(text[k : k + 3]) - len(text[k : k + 3].lstrip()))
+                    k += text[k : k + 1] in ("'", '"', "`") and text[k : k + 1] != ""
+                    z = k
+                    while z < len(text) and text[z] in KEPT:
+                        z += 1
+                    if z - k >= 8:
+                        out.add((k, k + len(text[k:z].rstrip(".,;:!*&#$%@"))))
+    return {(a, b) for a, b in out if b - a >= 8}
+
+
+def brute_novelty(text, start, end, dictionary):
+    """Marginal bytes by a compressor made anew for each measure."""
+    import zstandard
+
+    def size(b):
+        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b))
+
+    own = text[start:end].encode()
+    around = [x.encode().replace(own, b"") for x in (text[max(0, start - 256) : start], text[end : end + 256])]
+    return size(around[0] + own + around[1]) - size(b"".join(around))
+
+
+def test_secrets_by_brute_force(spark, docs):
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = ["the", "value", "password", "next_token", "of", "a", "readConfigFile", "total"]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if any(n in r["text"].lower() for n in NAMED) and len(r["text"]) < 4000]
+    for k in range(60):
+        sign, value = rng.choice(["=", ": ", " := ", '":"', " => "]), rng.choice([key(rng.randint(8, 60)), key(700), rng.choice(words) * 3, "changeme-now", "x" * 30])
+        rows.append((10_000 + k, " ".join(rng.choices(words, k=6)) + f" {rng.choice(NAMED)}{rng.choice(['', '_new', '1'])}{sign}{value} " + " ".join(rng.choices(words, k=6))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = secrets.identifiers(df)
+    names = Counter(n for _, t in rows for n in re.findall(r"(?<!\w)(?:[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?!\w)", t, re.A) if len(n) <= 40)
+    assert known == secrets.DICTIONARY + " ".join(n for n, _ in sorted(((n, c) for n, c in names.items() if c >= 3), key=lambda x: (-x[1], x[0]))[:2000][::-1]).encode() and b"next_token" in known[len(secrets.DICTIONARY) :]
+    found = {}
+    for r in secrets.scan_secrets(df).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["kind"], r["novelty"]))
+    for i, text in rows:
+        got = found.get(i, [])
+        for a, b, _, new in got:
+            assert new == brute_novelty(text, a, b, known)
+        for a, b in brute_assigned(text):
+            new, size = brute_novelty(text, a, b, known), len(text[a:b])
+            head = brute_novelty(text, a, min(b, a + 512), known)
+            enough = new >= 8 and new >= 0.42 * size or size > 512 and head >= 0.42 * 512
+            assert any(x < b and y > a for x, y, _, _ in got) or not enough, text[a:b]  # found, or part of what was
+        assert all((a, b) in brute_assigned(text) for a, b, kind, _ in got if kind == "assigned")
+
+
+def test_secret_scan_by_rows(odd, none):
     """The filter before the scan leaves nothing out, and redaction does what the scan says."""
+    known = secrets.identifiers(odd)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["end"], r["kind"]) for r in secrets.scan_secrets(odd).collect())
-    assert got == sorted((r["doc_id"] is None, r["doc_id"] or 0, a, b, k) for r in odd.collect() for a, b, k, _ in secrets.scan(r["text"]))
+    assert got == sorted((r["doc_id"] is None, r["doc_id"] or 0, a, b, k) for r in odd.collect() for a, b, k, _ in secrets.scan(r["text"], dictionary=known))
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes and out.count() == odd.count()
     changed = out.filter("text LIKE '%[SECRET]%'").collect()
@@ -253,7 +392,7 @@ def test_quality_held_out(spark):
     good = [r["kept"] for r in got if truth[r["doc_id"]]]
     bad = [r["kept"] for r in got if not truth[r["doc_id"]]]
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.05
-    model = quality.train(df, own)
+    model = quality.train(quality.described(df), own)
     assert 0.5 <= model.prior <= 0.9
 
 
@@ -278,7 +417,51 @@ def test_quality_keeps_the_good(docs, labels):
     got = {r["doc_id"]: r["kept"] for r in quality.quality_scores(docs, labels).collect()}
     good = [got[r["doc_id"]] for r in labels.filter("quality = 1").collect()]
     assert np.mean(good) >= 0.95
-    texts = pa.array([r["text"] for r in docs.select("text").collect()])
-    model = quality.train(docs, labels)
-    one = np.concatenate([quality.judge(texts.slice(k, 1), model)[0] for k in range(len(texts))])
-    assert (one == quality.judge(texts, model)[0]).all()
+    x = quality.features(pa.array([r["text"] for r in docs.select("text").collect()]))
+    model = quality.train(quality.described(docs), labels)
+    one = np.concatenate([quality.judge(x[k : k + 1], model)[0] for k in range(len(x))])
+    assert (one == quality.judge(x, model)[0]).all()
+
+
+def _risk(w, rows_p, rows_u, prior):
+    """The risk by its formula, row by row."""
+    loss = lambda z: (1 - z) ** 2 / 4
+    p, u = rows_p @ w, rows_u @ w
+    return prior * loss(p).mean() + max(0.0, loss(-u).mean() - prior * loss(-p).mean()) + quality.DECAY / 4 * w @ w
+
+
+@pytest.mark.parametrize("prior,few", [(0.3, False), (0.6, False), (0.97, True), (0.99, True)])
+def test_risk_is_least(prior, few):
+    """No step from the solution lowers the risk; both with the second term above 0 and held at 0."""
+    rng = np.random.default_rng(6)
+    n = 20 if few else 400
+    rows_p = np.concatenate([np.ones((n, 1)), rng.normal(1, 1, (n, 7))], 1)
+    of_p = rng.random(900) < prior
+    rows_u = np.concatenate([np.ones((900, 1)), rng.normal(np.where(of_p, 1, -1)[:, None], 1, (900, 7))], 1)
+    p, u = quality.Moments.of(rows_p[:2]) + quality.Moments.of(rows_p[2:]), quality.Moments.of(rows_u)
+    w = quality.least_risk(p, u, prior)
+    a, b = quality.risks(w, p, u, prior)
+    least = _risk(w, rows_p, rows_u, prior)
+    assert abs(a + max(0, b) + quality.DECAY / 4 * w @ w - least) < 1e-9
+    if few:
+        assert abs(b) < 1e-6  # held at 0
+    else:
+        assert b > 1e-3
+        steps = [(_risk(w + 1e-5 * e, rows_p, rows_u, prior) - _risk(w - 1e-5 * e, rows_p, rows_u, prior)) / 2e-5 for e in np.eye(len(w))]
+        assert np.abs(steps).max() < 1e-6  # its gradient, by differences
+    for size in (1e-4, 1e-2, 1.0):
+        assert min(_risk(w + size * rng.normal(size=len(w)), rows_p, rows_u, prior) for _ in range(300)) >= least - 1e-9
+
+
+def test_quality_fits_on_every_row(spark, docs, labels):
+    """The summed moments are those of all positive and all unlabelled rows that aren't held out."""
+    known = quality.described(docs)
+    x = {r["doc_id"]: np.frombuffer(r["x"], np.float32) for r in known.collect()}
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = {r["doc_id"] for r in docs.filter("pmod(xxhash64(doc_id), 5) = 0").collect()}
+    full = [i for i in x if x[i][quality.WORDS] > 0]
+    model = quality.train(known, labels, prior=0.8)
+    own = np.array([x[i] for i in full if mark.get(i, 1) == 1], np.float64)
+    assert np.allclose(model.centre, own.mean(0)) and np.allclose(model.scale, own.std(0) + 1e-6)
+    rows = lambda which: quality.Moments.of(quality.units(np.array([x[i] for i in full if i not in held and which(i)]), model.centre, model.scale))
+    assert np.allclose(model.w, quality.least_risk(rows(lambda i: mark.get(i) == 1), rows(lambda i: i not in mark), 0.8), atol=1e-6)
