@@ -7,6 +7,8 @@ and one aggregation, so no document's text meets the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,28 +41,32 @@ def bayes(df: DataFrame, key: str, body: str, label: str, max_vocab: int = 3500,
     ln((n + 1) / (total_l + V)); ties go to the least label.
     """
     known = labelled(df.select(key, label), label)
-    grams = gram_counts(df, key, body, max_chars)
-    model = label_grams(grams, known, key, label, max_vocab)
-    whole = Window.partitionBy(F.lit(0))  # one row a label
-    classes = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n_l")).withColumn("prior", F.log(F.col("n_l") / F.sum("n_l").over(whole)))
+    training = df.select(key, body).join(known.select(key).distinct(), key, "left_semi")
+    model = stored(label_grams(gram_counts(training, key, body, max_chars), known, key, label, max_vocab))
+    vocabulary = model.agg(F.count_distinct("gram")).first()[0]
     totals = model.groupBy("label").agg(F.sum("n").alias("total"))
-    vocabulary = model.select("gram").distinct()
-    size = vocabulary.agg(F.count("*").alias("v"))
-    classes = classes.join(totals, "label").crossJoin(size).select("label", "prior", (F.col("total") + F.col("v")).alias("denominator"))
-    # what a gram adds to each label's score beyond ln(1 / denominator), for its labels only
-    gain = model.select("label", "gram", F.log(F.col("n") + 1).alias("gain"))
-    inside = grams.join(vocabulary, "gram", "left_semi")
-    length = inside.groupBy(key).agg(F.sum("c").alias("length"))
-    gained = inside.join(gain, "gram").groupBy(key, "label").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
-    every = df.select(key).distinct().join(length, key, "left").crossJoin(classes)
-    score = F.col("prior") + F.coalesce("gain", F.lit(0.0)) - F.coalesce("length", F.lit(0)) * F.log("denominator")
-    scored = every.join(gained, [key, "label"], "left").select(key, "label", score.alias("score"))
-    return _decided(scored, key, confidence, margin, "fast-nb", softmax=True)
+    # one row a label
+    classes = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n_l")).join(totals, "label").orderBy("label").collect()
+    every = known.count()
+    # what each occurrence of a gram adds to each label's score; the table has at most max_vocab rows a label
+    n_of = lambda c: F.coalesce(F.max(F.when(F.col("label") == c["label"], F.col("n"))), F.lit(0))
+    weights = model.groupBy("gram").agg(*(F.log((n_of(c) + 1) / F.lit(float(c["total"] + vocabulary))).alias(f"_w{i}") for i, c in enumerate(classes)))
+    # no counts by gram: a document's grams are in one task, whose partial sums are a row of the shuffle
+    grams = df.select(F.col(key).alias("_key"), F.explode_outer(text.classifier_grams(F.col(body), max_chars)).alias("gram"))
+    sums = grams.join(stored(weights), "gram", "left").groupBy("_key").agg(*(F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(classes))))
+    score = lambda i, c: F.struct((-(F.col(f"_s{i}") + math.log(c["n_l"] / every))).alias("minus"), F.lit(c["label"]).alias("label"))
+    scored = sums.select(F.col("_key").alias(key), F.array_sort(F.array(*(score(i, c) for i, c in enumerate(classes)))).alias("s"))
+    return _best(scored, key, confidence, margin, "fast-nb", softmax=True)
 
 
 def _decided(scored: DataFrame, key: str, confidence: float, margin: float, backend: str, softmax: bool) -> DataFrame:
     """The best label of (key, label, score) with its probability and distance from the second."""
     own = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "label"))).alias("s"))
+    return _best(own, key, confidence, margin, backend, softmax)
+
+
+def _best(own: DataFrame, key: str, confidence: float, margin: float, backend: str, softmax: bool) -> DataFrame:
+    """The same of (key, s), s sorted by minus and label."""
     if softmax:
         weights = F.transform("s", lambda x: F.exp(F.element_at("s", 1)["minus"] - x["minus"]))
         p = own.withColumn("w", weights).withColumn("t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar, text
 from ..operators import reports
@@ -38,16 +39,16 @@ def _rows(one: DataFrame, *entries: Column) -> DataFrame:
 
 
 def batch_audit(df: DataFrame, label: str, key: str, most_label: float = 0.8, most_duplicates: float = 0.3) -> DataFrame:
-    """G1: rows, top label and its share, count by label, duplicates among the keys."""
+    """G1: rows, top label (its name in note) and its share, count by label, duplicates among the keys."""
     labels = df.select(F.trim(text.plain(F.col(label).cast("string"))).alias("label"))
     counts = reports.distribution(labels, "label")
-    top = counts.orderBy(F.desc("count"), "label").limit(1)
-    status = F.when(F.col("share") > most_label, "pause_before_training").otherwise("ok")
+    top = counts.withColumn("exact", F.col("count") / F.sum("count").over(reports.whole())).orderBy(F.desc("count"), "label").limit(1)
+    status = F.when(F.col("exact") > most_label, "pause_before_training").otherwise("ok")
     dup = reports.duplicate_metrics(df, F.col(key))
-    twice = F.when(F.col("duplicate_share") > most_duplicates, "dedupe_review_batch").otherwise("ok")
+    twice = F.when(F.try_divide(F.col("duplicate_extra_rows"), F.col("row_count")) > most_duplicates, "dedupe_review_batch").otherwise("ok")
     return (
         _rows(dup, _row("rows", F.col("row_count")), _row("duplicate_extra_rows", F.col("duplicate_extra_rows"), twice), _row("duplicate_expression_share", F.col("duplicate_share"), twice))
-        .unionByName(_rows(top, _row("top_label_share", F.col("share"), status, F.col("label"))))
+        .unionByName(_rows(top, _row("top_label", F.lit(None), "info", F.col("label")), _row("top_label_share", F.col("share"), status, F.col("label"))))
         .unionByName(_rows(counts, _row(F.concat(F.lit("label_count:"), "label"), F.col("count"))))
     )
 
@@ -60,7 +61,7 @@ def diagnosis(df: DataFrame, label: str, confidence: str, margin: str, body: str
     one = texts.agg(F.sum("n").alias("n"), F.count("*").alias("u"), F.sum("low").alias("low"), F.sum("near").alias("near"), F.count_if(F.col("low") > 0).alias("lu"))
     part = scalar.share(F.col("low"), F.col("n"))
     fixed = _rows(
-        one, _row("rows", F.col("n")), _row("low_confidence_share", part, F.when(part > 0.9, "diagnose_before_iterating").otherwise("ok")), _row("low_margin_share", scalar.share(F.col("near"), F.col("n"))),
+        one, _row("rows", F.col("n")), _row("low_confidence_share", part, F.when(F.try_divide(F.col("low"), F.col("n")) > 0.9, "diagnose_before_iterating").otherwise("ok")), _row("low_margin_share", scalar.share(F.col("near"), F.col("n"))),
         _row("duplicate_extra_share", scalar.share(F.col("n") - F.col("u"), F.col("n"))), _row("low_conf_unique_texts", F.col("lu")), _row("low_conf_duplicate_extra_rows", F.col("low") - F.col("lu")),
     )
     return fixed.unionByName(_rows(reports.distribution(df, label), _row(F.concat(F.lit("label_share:"), "label"), F.col("share"))))
@@ -81,25 +82,31 @@ def round_audit(df: DataFrame, label: str, confidence: str, margin: str, body: s
     )
 
 
-def distribution_delta(now: DataFrame, before: DataFrame, label: str, targets: list[str], most: float = 0.05) -> DataFrame:
-    """(label, previous_share, current_share, delta, status) over both rounds' labels and the targets."""
-    part = lambda d: reports.distribution(d, label, targets).withColumn("exact", F.col("count") / F.sum("count").over(reports.whole()))
-    a, b = (part(d).select("label", F.col("exact").alias(n)) for d, n in ((before, "p"), (now, "c")))
+def distribution_delta(now: DataFrame, before: DataFrame, label: str, targets: list[str], most: float = 0.05, before_label: str | None = None) -> DataFrame:
+    """(label, previous_share, current_share, delta, abs_delta, status) of the targets or, without any, of both rounds' labels; exact shares are tested."""
+    part = lambda d, c: reports.distribution(d, c, targets).withColumn("exact", F.col("count") / F.sum("count").over(reports.whole()))
+    a, b = (part(d, c).select("label", F.col("exact").alias(n)) for d, c, n in ((before, before_label or label, "p"), (now, label, "c")))
     own = a.join(b, "label", "full_outer").na.fill(0.0, ["p", "c"])
-    delta = F.round(F.abs(F.col("c") - F.col("p")), 6)
-    return own.select("label", F.round("p", 6).alias("previous_share"), F.round("c", 6).alias("current_share"), delta.alias("delta"), F.when(delta > most, "unstable").otherwise("ok").alias("status"))
+    own = own.filter(F.col("label").isin(targets)) if targets else own
+    delta = F.col("c") - F.col("p")
+    status = F.when(F.abs(delta) > most, "changed_too_much").otherwise("ok")
+    return own.select("label", F.round("p", 6).alias("previous_share"), F.round("c", 6).alias("current_share"), F.round(delta, 6).alias("delta"), F.round(F.abs(delta), 6).alias("abs_delta"), status.alias("status"))
 
 
-def transition_drift(now: DataFrame, before: DataFrame, row_id: str, label: str, most: float = 0.2) -> DataFrame:
-    """The transitions with status drift where a change's rate is over most."""
-    own = reports.transitions(now, before, row_id, label)
-    return own.withColumn("status", F.when((F.col("previous_label") != F.col("current_label")) & (F.col("rate") > most), "drift").otherwise("ok"))
+def transition_drift(now: DataFrame, before: DataFrame, row_id: str, label: str, most: float = 0.2, before_label: str | None = None) -> DataFrame:
+    """The transitions with status drift where a change's exact rate is over most."""
+    own = reports.transitions(now, before, row_id, label, before_label)
+    exact = F.col("n") / F.sum("n").over(Window.partitionBy("previous_label"))
+    return own.withColumn("status", F.when((F.col("previous_label") != F.col("current_label")) & (exact > most), "drift").otherwise("ok"))
 
 
 def audit_agreement(df: DataFrame, predicted: str, confirmed: str, most: float = 0.15) -> DataFrame:
-    """One row (audited, errors, error_share, status)."""
-    own = reports.agreement(df, confirmed, predicted)
-    return own.select(F.col("usable_rows").alias("audited"), (F.col("usable_rows") - F.col("matched_rows")).alias("errors"), F.col("error_rate").alias("error_share"), F.when(F.col("error_rate") > most, "audit_error_too_high").otherwise("ok").alias("status"))
+    """One row (audit_rows, error_rows, error_share, max_error_share, status) over pairs without a null; the exact share is tested."""
+    both = F.col(predicted).isNotNull() & F.col(confirmed).isNotNull()
+    wrong = both & (F.col(predicted).cast("string") != F.col(confirmed).cast("string"))
+    own = df.agg(F.count_if(both).alias("audit_rows"), F.count_if(wrong).alias("error_rows"))
+    status = F.when(F.try_divide(F.col("error_rows"), F.col("audit_rows")) > most, "too_many_errors").otherwise("ok")
+    return own.select("audit_rows", "error_rows", scalar.share(F.col("error_rows"), F.col("audit_rows")).alias("error_share"), F.lit(most).alias("max_error_share"), status.alias("status"))
 
 
 def decide(codes: Column) -> Column:
@@ -108,56 +115,120 @@ def decide(codes: Column) -> Column:
     return F.when(F.size(codes) == 0, "candidate_stop").when(any_of(AUDIT), "audit_needed").when(any_of(CONTINUE), "continue").otherwise("incomplete")
 
 
-def convergence(
-    predictions: DataFrame, targets: list[str], row_id: str, *, label: str = "predicted_label", confidence: str = "predicted_confidence", previous: DataFrame | None = None, reviewed: DataFrame | None = None, new_batch: DataFrame | None = None, audit: DataFrame | None = None, review_label: str = "label", audit_predicted: str = "predicted_label",
+#: What a decision means.
+MEANING = {
+    "candidate_stop": "every check allows an end; whether it serves the purpose is for people to say",
+    "audit_needed": "neither stop nor go on: look at audit samples first",
+    "continue": "label and train again before anything is reported",
+    "incomplete": "evidence is lacking, and the result has to be called incomplete",
+}
+
+
+def _checks(
+    predictions: DataFrame, targets: list[str], row_id: str, *, label: str = "predicted_label", confidence: str = "predicted_confidence", previous: DataFrame | None = None, reviewed: DataFrame | None = None, new_batch: DataFrame | None = None, audit: DataFrame | None = None, review_label: str = "label", audit_predicted: str = "predicted_label", previous_label: str | None = None,
     rounds: int = 0, least_rounds: int = 2, least_per_label: int = 20, most_delta: float = 0.05, most_error: float = 0.15, most_top: float = 0.8, most_rate: float = 0.2, low_confidence: float = 0.6, most_low: float = 0.9,
-) -> tuple[str, DataFrame]:
-    """(status, reasons(level, code, metric, value))."""
-    spark = predictions.sparkSession
-    reasons: list[tuple[str, str, str, float | None]] = []
-    block = lambda code, metric="", value=None: reasons.append(("blocker", code, metric, None if value is None else float(value)))
+) -> tuple[dict[str, bool], list[tuple[str, str, str, float | None, str]]]:
+    """(whether each check holds, reasons(level, code, metric, value, message)); shares are tested as they are and rounded for the report."""
+    reasons: list[tuple[str, str, str, float | None, str]] = []
+    say = lambda level, code, message="", metric="", value=None: reasons.append((level, code, metric, None if value is None else round(float(value), 4), message))
+    before = previous_label or label
+    holds = dict.fromkeys(("coverage_ok", "new_batch_ok", "distribution_ok", "transition_ok", "audit_ok", "low_confidence_ok"), True)
+
+    def fail(check: str, code: str, *what: object) -> None:
+        holds[check] = False
+        say("blocker", code, *what)
+
+    if not targets:
+        say("blocker", "missing_target_labels", "no target labels were given")
     if rounds < least_rounds:
-        block("not_enough_review_rounds", "review_rounds", rounds)
+        say("blocker", "not_enough_review_rounds", f"at least {least_rounds} rounds of review are needed", "review_rounds", rounds)
     if reviewed is None:
-        block("missing_reviewed_labels")
-    else:
+        fail("coverage_ok", "missing_reviewed_labels", "no reviewed labels were given")
+    elif review_label not in reviewed.columns:
+        fail("coverage_ok", "missing_review_label_col", f"the reviewed labels have no column {review_label}")
+    elif targets:
         for r in reports.reviewed_coverage(reviewed, review_label, targets, least_per_label).filter("status = 'insufficient'").orderBy("label").collect():
-            block("insufficient_label_coverage", f"reviewed_count:{r['label']}", r["reviewed_count"])
+            fail("coverage_ok", "insufficient_label_coverage", f"{r['label']} has under {least_per_label} reviewed rows", f"reviewed_count:{r['label']}", r["reviewed_count"])
     if new_batch is not None:
-        top = reports.top_label(new_batch, review_label).first()
+        top = None
+        if review_label in new_batch.columns:
+            shares = reports.distribution(new_batch, review_label).withColumn("exact", F.col("count") / F.sum("count").over(reports.whole()))
+            top = shares.orderBy(F.desc("count"), "label").limit(1).first()
         if top is None:
-            reasons.append(("warning", "new_batch_unavailable", "", None))
-        elif top["share"] > most_top:
-            block("new_batch_imbalanced", "new_batch_top_label_share", top["share"])
-            reasons.append(("info", "new_batch_top_label", top["label"], None))
-    for r in reports.effective_distribution(predictions, label, targets).filter("count = 0").orderBy("label").collect():
-        block("missing_target_labels", f"predicted_count:{r['label']}", 0)
+            say("warning", "new_batch_unavailable", "the new batch has no rows or no labels")
+        elif top["exact"] > most_top:
+            fail("new_batch_ok", "new_batch_imbalanced", "one label fills most of the new batch", "new_batch_top_label_share", top["exact"])
+            say("info", "new_batch_top_label", top["label"])
     if previous is None:
-        block("missing_previous_predictions")
+        fail("distribution_ok", "missing_previous_predictions", "no earlier round's predictions were given")
+        holds["transition_ok"] = False
     else:
-        for r in distribution_delta(predictions, previous, label, targets, most_delta).filter("status = 'unstable'").orderBy("label").collect():
-            block("distribution_not_stable", f"share_delta:{r['label']}", r["delta"])
-        for r in transition_drift(predictions, previous, row_id, label, most_rate).filter("status = 'drift'").orderBy("previous_label", "current_label").collect():
-            block("label_transition_drift", f"{r['previous_label']}->{r['current_label']}", r["rate"])
-    audited = False
+        there = label in predictions.columns and before in previous.columns
+        if not there or predictions.isEmpty() or previous.isEmpty():
+            fail("distribution_ok", "missing_distribution_columns", "a round has no rows or no labels")
+        else:
+            for r in distribution_delta(predictions, previous, label, targets, most_delta, before).filter("status <> 'ok'").orderBy("label").collect():
+                fail("distribution_ok", "distribution_not_stable", f"the share of {r['label']} moved by more than {most_delta}", f"abs_delta:{r['label']}", r["abs_delta"])
+        if not there or row_id not in predictions.columns or row_id not in previous.columns:
+            say("warning", "transition_unavailable", "a round lacks its ids or labels")
+        elif predictions.select(row_id).join(previous.select(row_id), row_id, "left_semi").isEmpty():
+            say("warning", "transition_empty", "the rounds have no row in common")
+        else:
+            for r in transition_drift(predictions, previous, row_id, label, most_rate, before).filter("status = 'drift'").orderBy("previous_label", "current_label").collect():
+                fail("transition_ok", "label_transition_drift", f"too many rows went from {r['previous_label']} to {r['current_label']}", f"transition_rate:{r['previous_label']}->{r['current_label']}", r["rate"])
     if audit is None:
-        block("missing_audit_labels")
+        fail("audit_ok", "missing_audit_labels", "no audited rows were given")
+    elif audit_predicted not in audit.columns or review_label not in audit.columns:
+        fail("audit_ok", "missing_audit_columns", "audited rows need a predicted and a confirmed label")
     else:
         r = audit_agreement(audit, audit_predicted, review_label, most_error).first()
-        audited = r["status"] == "ok" and r["audited"] > 0
-        if not r["audited"]:
-            block("missing_audit_labels")
-        elif not audited:
-            block("audit_error_too_high", "audit_error_share", r["error_share"])
-    part = predictions.agg(F.round(F.avg(reports.low(confidence, low_confidence).cast("double")), 4)).first()[0] or 0.0
-    if part > most_low:
-        reasons.append(("warning" if audited else "blocker", "high_low_confidence_share" if audited else "high_low_confidence_needs_audit", "low_confidence_share", part))
+        if not r["audit_rows"]:
+            fail("audit_ok", "empty_audit_labels", "no audited row has both labels")
+        elif r["status"] != "ok":
+            fail("audit_ok", "audit_error_too_high", "audited rows differ too often from their predictions", "audit_error_share", r["error_share"])
+    part = predictions.agg(F.avg(reports.low(confidence, low_confidence).cast("double"))).first()[0] if confidence in predictions.columns else None
+    what = ("low confidence is common, which an audit has to explain", "low_confidence_share", part)
+    if part is None:
+        say("warning", "confidence_unavailable", "there are no confidences")
+    elif part <= most_low:
+        say("info", "low_confidence_checked", "", *what[1:])
+    elif holds["audit_ok"]:
+        say("warning", "high_low_confidence_audited", *what)
     else:
-        reasons.append(("info", "low_confidence_share", "low_confidence_share", part))
-    report = spark.createDataFrame(reasons, "level string, code string, metric string, value double")
-    codes = {r[1] for r in reasons if r[0] == "blocker"}
-    status = "candidate_stop" if not codes else "audit_needed" if codes & {*AUDIT} else "continue" if codes & {*CONTINUE} else "incomplete"
-    return status, report
+        fail("low_confidence_ok", "high_low_confidence_needs_audit", *what)
+    return holds, reasons
+
+
+_REASONS = "level string, code string, metric string, value double, message string"
+
+
+def _status(codes: list[str]) -> str:
+    own = {*codes}
+    return "candidate_stop" if not own else "audit_needed" if own & {*AUDIT} else "continue" if own & {*CONTINUE} else "incomplete"
+
+
+def convergence(predictions: DataFrame, targets: list[str], row_id: str, **how) -> tuple[str, DataFrame]:
+    """(status, reasons(level, code, metric, value, message)).
+
+    Columns that are absent and tables without rows are reasons of their own, not
+    errors; thresholds and tables are those of ``_checks``.
+    """
+    _, reasons = _checks(predictions, targets, row_id, **how)
+    return _status([r[1] for r in reasons if r[0] == "blocker"]), predictions.sparkSession.createDataFrame(reasons, _REASONS)
+
+
+def convergence_reports(predictions: DataFrame, targets: list[str], row_id: str, **how) -> dict[str, DataFrame]:
+    """The gate's tables: reasons; metrics(metric, value), checks as 1 or 0; decision(status, can_stop, meaning, blockers)."""
+    spark = predictions.sparkSession
+    holds, reasons = _checks(predictions, targets, row_id, **how)
+    blockers = [r[1] for r in reasons if r[0] == "blocker"]
+    metrics = [(k, float(v)) for k, v in holds.items()] + [("blocker_count", float(len(blockers))), ("warning_count", float(sum(r[0] == "warning" for r in reasons)))]
+    status = _status(blockers)
+    return {
+        "reasons": spark.createDataFrame(reasons, _REASONS),
+        "metrics": spark.createDataFrame(metrics, "metric string, value double"),
+        "decision": spark.createDataFrame([(status, not blockers, MEANING[status], ",".join(blockers))], "status string, can_stop boolean, meaning string, blockers string"),
+    }
 
 
 PROBLEMS = ("missing_label_column", "missing_in_denominator_column", "missing_exclusion_reason_column", "excluded_rows_missing_reason", "effective_rows_missing_label", "zero_effective_denominator", "unknown_or_blank_denominator_flags")

@@ -300,19 +300,10 @@ def _(spark, d):  # F13
     return own.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("texts"))
 
 
-_TOK = f"t AS (SELECT doc_id, substr({q.compact('text')}, 1, 600) AS x FROM documents), u AS (SELECT doc_id, unnest({q.grams('x', 1, 2)}) AS gram FROM t), tok AS (SELECT doc_id, gram, {COUNT} AS c FROM u GROUP BY 1, 2)"
+_TOK = f"t AS (SELECT doc_id, {q.compact('text')} AS x FROM documents), u AS (SELECT doc_id, unnest({q.grams('x', 1, 2)}) AS gram FROM t), tok AS (SELECT doc_id, gram, {COUNT} AS c FROM u GROUP BY 1, 2)"
 
 
 @query("char_ngrams_clf", f"WITH {_TOK} SELECT doc_id, gram, c FROM tok")
-def _(spark, d):  # F14
-    return classify.gram_counts(table(spark, d, "documents"), "doc_id", "text", 600)
-
-
-#: The same of whole texts.
-_TOK_WHOLE = _TOK.replace(f"substr({q.compact('text')}, 1, 600)", q.compact("text"))
-
-
-@query("char_ngrams_clf_whole", f"WITH {_TOK_WHOLE} SELECT doc_id, gram, c FROM tok")
 def _(spark, d):  # F14
     return classify.gram_counts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -584,7 +575,7 @@ def _(spark, d):  # D2
 # ---- classifiers ---------------------------------------------------------------------------------------------------
 
 _LAB = f"lab AS (SELECT doc_id, {GOOD} AS label FROM labels JOIN documents USING (doc_id))"
-_MODEL = f"{_TOK}, {_LAB}, model AS (SELECT label, gram, sum(c)::BIGINT AS n FROM tok JOIN lab USING (doc_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) <= 1000)"
+_MODEL = f"{_TOK}, {_LAB}, model AS (SELECT label, gram, sum(c)::BIGINT AS n FROM tok JOIN lab USING (doc_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, gram) <= 3500)"
 
 
 def _labelled(spark, d):
@@ -592,16 +583,6 @@ def _labelled(spark, d):
 
 
 @query("nb_model_tokens", f"WITH {_MODEL} SELECT label, gram, n FROM model")
-def _(spark, d):  # A18, M5
-    own = _labelled(spark, d)
-    return classify.label_grams(classify.gram_counts(own, "doc_id", "text", 600), classify.labelled(own, "label"), "doc_id", "label", 1000)
-
-
-#: The same of whole texts with the operators' own number of grams a label.
-_MODEL_WHOLE = _MODEL.replace(_TOK, _TOK_WHOLE).replace("<= 1000)", "<= 3500)")
-
-
-@query("nb_model_tokens_whole", f"WITH {_MODEL_WHOLE} SELECT label, gram, n FROM model")
 def _(spark, d):  # A18, M5
     own = _labelled(spark, d)
     return classify.label_grams(classify.gram_counts(own, "doc_id", "text"), classify.labelled(own, "label"), "doc_id", "label")
@@ -617,11 +598,6 @@ w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e, row_number() OV
 p AS (SELECT doc_id, max(label) FILTER (WHERE k = 1) AS predicted_label, round(max(e) FILTER (WHERE k = 1) / sum(e), 4) AS predicted_confidence, round((max(e) FILTER (WHERE k = 1) - max(e) FILTER (WHERE k = 2)) / sum(e), 4) AS top2_margin FROM w GROUP BY 1)
 SELECT *, predicted_confidence < 0.6 OR top2_margin < 0.15 AS needs_review, 'fast-nb' AS classifier_backend FROM p""",
 )
-def _(spark, d):  # M6, M8, M9, W10, W13, J7
-    return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "nb", max_vocab=1000, max_chars=600)
-
-
-@query("nb_predict_whole", _SQL["nb_predict"].replace(_MODEL, _MODEL_WHOLE))
 def _(spark, d):  # M6, M8, M9, W10, W13, J7
     return classify.train_and_score(_labelled(spark, d), "doc_id", "text", "label", "nb")
 
@@ -675,13 +651,13 @@ def _(spark, d):  # M2, J8
     return _assigned(spark, d)[2].select("id", "topic", F.round("distance", 4).alias("distance"))
 
 
-@query("topic_summary", f"WITH {_TOPIC}, ta AS (SELECT topic, gram, round(sum(w), 6) AS v FROM vec JOIN asg USING (id) GROUP BY 1, 2), tw AS (SELECT topic, gram, v AS w FROM ta QUALIFY row_number() OVER (PARTITION BY topic ORDER BY v DESC, gram) <= 12) SELECT topic, count, round(count::DOUBLE / sum(count) OVER (), 4) AS share, top_terms FROM (SELECT topic, {COUNT} AS count FROM asg GROUP BY 1) LEFT JOIN (SELECT topic, string_agg(gram, '、' ORDER BY w DESC, gram) AS top_terms FROM tw GROUP BY 1) USING (topic)")
+@query("topic_summary_1iter", f"WITH {_TOPIC}, ta AS (SELECT topic, gram, round(sum(w), 6) AS v FROM vec JOIN asg USING (id) GROUP BY 1, 2), tw AS (SELECT topic, gram, v AS w FROM ta QUALIFY row_number() OVER (PARTITION BY topic ORDER BY v DESC, gram) <= 12) SELECT topic, count, round(count::DOUBLE / sum(count) OVER (), 4) AS share, top_terms FROM (SELECT topic, {COUNT} AS count FROM asg GROUP BY 1) LEFT JOIN (SELECT topic, string_agg(gram, '、' ORDER BY w DESC, gram) AS top_terms FROM tw GROUP BY 1) USING (topic)")
 def _(spark, d):  # M4, N10
     own, vecs, asg = _assigned(spark, d)
     return topics.summary(own, vecs, asg, "id", "text").drop("examples")
 
 
-@query("topic_examples", f"WITH {_TOPIC} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(distance, 9), id) AS place, id FROM asg QUALIFY place <= 3")
+@query("topic_examples_1iter", f"WITH {_TOPIC} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(distance, 9), id) AS place, id FROM asg QUALIFY place <= 3")
 def _(spark, d):  # N10
     return topics.nearest(_assigned(spark, d)[2], "id")
 
@@ -692,13 +668,13 @@ def _(spark, d):  # M2
     return topics.kmeans(own, vecs, "id", 4, stored).select("id", "topic", F.round("distance", 4).alias("distance"))
 
 
-@query("topic_summary_whole")
+@query("topic_summary")
 def _(spark, d):  # M4, N10, of the clustering and not its first round
     own, _, vecs = _vectors(spark, d)
     return topics.summary(own, vecs, topics.choose_k(own, vecs, "id", stored)[1], "id", "text").drop("examples")
 
 
-@query("topic_examples_whole")
+@query("topic_examples")
 def _(spark, d):  # N10
     own, _, vecs = _vectors(spark, d)
     return topics.nearest(topics.choose_k(own, vecs, "id", stored)[1], "id")
@@ -835,7 +811,7 @@ _AUDIT = f"WITH r AS {R}, c AS (SELECT label, {COUNT} AS n FROM r GROUP BY 1), t
 
 @query(
     "batch_audit",
-    _AUDIT + "SELECT 'rows' AS metric, n::DOUBLE AS value, 'info' AS status FROM u UNION ALL SELECT 'duplicate_extra_rows', n - u, CASE WHEN round((n - u)::DOUBLE / n, 4) > 0.3 THEN 'dedupe_review_batch' ELSE 'ok' END FROM u UNION ALL SELECT 'duplicate_expression_share', round((n - u)::DOUBLE / n, 4), CASE WHEN round((n - u)::DOUBLE / n, 4) > 0.3 THEN 'dedupe_review_batch' ELSE 'ok' END FROM u UNION ALL SELECT 'top_label_share', s, CASE WHEN s > 0.8 THEN 'pause_before_training' ELSE 'ok' END FROM t UNION ALL SELECT 'label_count:' || label, n, 'info' FROM c",
+    _AUDIT + "SELECT 'rows' AS metric, n::DOUBLE AS value, 'info' AS status FROM u UNION ALL SELECT 'duplicate_extra_rows', n - u, CASE WHEN (n - u)::DOUBLE / n > 0.3 THEN 'dedupe_review_batch' ELSE 'ok' END FROM u UNION ALL SELECT 'duplicate_expression_share', round((n - u)::DOUBLE / n, 4), CASE WHEN (n - u)::DOUBLE / n > 0.3 THEN 'dedupe_review_batch' ELSE 'ok' END FROM u UNION ALL SELECT 'top_label', NULL, 'info' FROM t UNION ALL SELECT 'top_label_share', s, CASE WHEN s > 0.8 THEN 'pause_before_training' ELSE 'ok' END FROM t UNION ALL SELECT 'label_count:' || label, n, 'info' FROM c",
 )
 def _(spark, d):  # G1, A8, A9
     return gates.batch_audit(reviewed(spark, d), "label", "text").drop("note")
@@ -872,17 +848,17 @@ def _(spark, d):  # A4, G6
 _PART = lambda source: f"(SELECT label, coalesce(c, 0)::DOUBLE / (SELECT count(*) FROM {source} x) AS s FROM {_T} FULL JOIN (SELECT predicted_label AS label, count(*) AS c FROM {source} y GROUP BY 1) USING (label))"
 
 
-@query("gate_delta", f"SELECT label, round(p, 6) AS previous_share, round(c, 6) AS current_share, round(abs(c - p), 6) AS delta, CASE WHEN round(abs(c - p), 6) > 0.05 THEN 'unstable' ELSE 'ok' END AS status FROM (SELECT label, coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS c FROM {_PART(B)} a FULL JOIN {_PART(S)} b USING (label))")
+@query("gate_delta", f"SELECT label, round(p, 6) AS previous_share, round(c, 6) AS current_share, round(c - p, 6) AS delta, round(abs(c - p), 6) AS abs_delta, CASE WHEN abs(c - p) > 0.05 THEN 'changed_too_much' ELSE 'ok' END AS status FROM (SELECT label, coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS c FROM {_PART(B)} a FULL JOIN {_PART(S)} b USING (label)) WHERE label IN (SELECT label FROM {_T})")
 def _(spark, d):  # G8, U6
     return gates.distribution_delta(scores(spark, d), before(spark, d), "predicted_label", TARGETS)
 
 
-@query("gate_transitions", f"WITH {_TRANS} SELECT *, CASE WHEN previous_label <> current_label AND rate > 0.2 THEN 'drift' ELSE 'ok' END AS status FROM rt")
+@query("gate_transitions", f"WITH {_TRANS} SELECT *, CASE WHEN previous_label <> current_label AND n::DOUBLE / sum(n) OVER (PARTITION BY previous_label) > 0.2 THEN 'drift' ELSE 'ok' END AS status FROM rt")
 def _(spark, d):  # G9, A7
     return gates.transition_drift(scores(spark, d), before(spark, d), "doc_id", "predicted_label")
 
 
-@query("gate_audit", f"SELECT {COUNT} AS audited, (count(*) FILTER (WHERE label <> predicted_label))::BIGINT AS errors, round((count(*) FILTER (WHERE label <> predicted_label))::DOUBLE / count(*), 4) AS error_share, CASE WHEN (count(*) FILTER (WHERE label <> predicted_label))::DOUBLE / count(*) > 0.15 THEN 'audit_error_too_high' ELSE 'ok' END AS status FROM {R}")
+@query("gate_audit", f"SELECT {COUNT} AS audit_rows, (count(*) FILTER (WHERE label <> predicted_label))::BIGINT AS error_rows, round((count(*) FILTER (WHERE label <> predicted_label))::DOUBLE / count(*), 4) AS error_share, CASE WHEN (count(*) FILTER (WHERE label <> predicted_label))::DOUBLE / count(*) > 0.15 THEN 'too_many_errors' ELSE 'ok' END AS status, 0.15::DOUBLE AS max_error_share FROM {R}")
 def _(spark, d):  # G10
     return gates.audit_agreement(reviewed(spark, d), "predicted_label", "label")
 

@@ -179,15 +179,45 @@ def test_convergence(spark):
     own = [(k, "a" if k % 2 else "b", 0.9) for k in range(60)]
     now = spark.createDataFrame(own, "id long, predicted_label string, predicted_confidence double")
     done = now.withColumn("label", F.col("predicted_label"))
-    status, reasons = gates.convergence(now, ["a", "b"], "id", previous=now, reviewed=done, new_batch=done, audit=done, rounds=2)
-    assert status == "candidate_stop" and {r["level"] for r in reasons.collect()} == {"info"}
-    status, reasons = gates.convergence(now, ["a", "b", "c"], "id")
-    codes = {r["code"] for r in reasons.collect() if r["level"] == "blocker"}
-    assert status == "audit_needed" and codes == {"not_enough_review_rounds", "missing_reviewed_labels", "missing_target_labels", "missing_previous_predictions", "missing_audit_labels"}
-    wrong = done.withColumn("label", F.lit("b"))
-    assert gates.convergence(now, ["a", "b"], "id", previous=now, reviewed=done, audit=wrong, rounds=2)[0] == "incomplete"
+    full = {"previous": now, "reviewed": done, "new_batch": done, "audit": done, "rounds": 2}
+    unsure = now.withColumn("predicted_confidence", F.lit(0.1))
     flipped = now.withColumn("predicted_label", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
-    assert gates.convergence(now, ["a", "b"], "id", previous=flipped, reviewed=done, audit=done, rounds=2)[0] == "audit_needed"
+    wrong = done.withColumn("label", F.lit("b"))
+
+    def gate(status, codes, now=now, targets=("a", "b"), **how):
+        got, reasons = gates.convergence(now, list(targets), "id", **(full | how))
+        assert (got, {(r["level"], r["code"]) for r in reasons.collect()} - {("info", "low_confidence_checked")}) == (status, codes)
+
+    blocked = lambda *codes: {("blocker", c) for c in codes}
+    gate("candidate_stop", set())
+    gate("incomplete", blocked("missing_target_labels"), targets=())
+    # a target that nothing is predicted as blocks only where it lacks reviewed rows
+    gate("continue", blocked("insufficient_label_coverage"), targets=("a", "b", "c"))
+    gate("continue", blocked("not_enough_review_rounds"), rounds=1)
+    gate("continue", blocked("missing_reviewed_labels"), reviewed=None)
+    gate("incomplete", blocked("missing_review_label_col"), reviewed=now)
+    gate("candidate_stop", {("warning", "new_batch_unavailable")}, new_batch=done.limit(0))
+    gate("candidate_stop", {("warning", "new_batch_unavailable")}, new_batch=now)
+    gate("audit_needed", blocked("new_batch_imbalanced") | {("info", "new_batch_top_label")}, new_batch=wrong)
+    gate("incomplete", blocked("missing_previous_predictions"), previous=None)
+    gate("incomplete", blocked("missing_distribution_columns") | {("warning", "transition_unavailable")}, previous=now.drop("predicted_label"))
+    gate("candidate_stop", {("warning", "transition_unavailable")}, previous=now.drop("id"))
+    gate("candidate_stop", {("warning", "transition_empty")}, previous=now.withColumn("id", F.col("id") + 100))
+    gate("audit_needed", blocked("label_transition_drift"), previous=flipped)
+    gate("continue", blocked("distribution_not_stable"), previous=now.withColumn("predicted_label", F.when(F.col("id") < 10, "b").otherwise(F.col("predicted_label"))))
+    gate("audit_needed", blocked("missing_audit_labels"), audit=None)
+    gate("incomplete", blocked("missing_audit_columns"), audit=now)
+    gate("incomplete", blocked("empty_audit_labels"), audit=done.withColumn("label", F.lit(None).cast("string")))
+    gate("incomplete", blocked("audit_error_too_high"), audit=wrong)
+    gate("candidate_stop", {("warning", "confidence_unavailable")}, now=now.drop("predicted_confidence"))
+    gate("candidate_stop", {("warning", "high_low_confidence_audited")}, now=unsure)
+    gate("audit_needed", blocked("audit_error_too_high", "high_low_confidence_needs_audit"), now=unsure, audit=wrong)
+    # 41 of 51 is over 0.8, though 0.8 when rounded to one place; 48 of 60 isn't
+    rows = done.withColumn("label", F.when(F.col("id") < 48, "a").otherwise("b"))
+    gate("candidate_stop", set(), new_batch=rows)
+    tables = gates.convergence_reports(now, ["a", "b"], "id", **(full | {"audit": None}))
+    assert {r["metric"]: r["value"] for r in tables["metrics"].collect()} == {"coverage_ok": 1, "new_batch_ok": 1, "distribution_ok": 1, "transition_ok": 1, "audit_ok": 0, "low_confidence_ok": 1, "blocker_count": 1, "warning_count": 0}
+    assert tables["decision"].first()[:2] == ("audit_needed", False) and tables["decision"].first()["blockers"] == "missing_audit_labels"
 
 
 def test_denominator_and_package(spark, tmp_path):
