@@ -19,8 +19,8 @@ logs, tables and prose, several spans a line).  The trained model is a few
 kilobytes and goes with the tasks.
 
 Positions count code points; a text is searched whole, and addresses and runs of
-any length are proposed whole.  Phone numbers have at most 25 characters, cards
-19 digits, accounts 34, as their formats say; of longer runs the parts of such a
+any length are proposed whole.  Phone numbers have at most 15 digits (after a
+leading 00) and 25 characters, cards 19 digits, accounts 34, as their formats say; of longer runs the parts of such a
 format are proposed.
 
 Defined results: of overlapping spans that are equally likely, long and early the
@@ -121,8 +121,10 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
                 if line.startswith("(") and ")" not in line:
                     line, at = line[1:], at + 1
                 size = len(line.rstrip())
-                if size >= 5 and (kind != "phone" or sum(c.isdigit() for c in line) >= 7):
-                    out.add((kind, at, at + size))
+                digits = sum(c.isdigit() for c in line)
+                if size >= 5 and (kind != "phone" or digits >= 7):
+                    if kind != "phone" or digits <= (17 if line.startswith("00") else 15):  # the longest number with its country, after 00
+                        out.add((kind, at, at + size))
                     if kind in ("phone", "card") and " " in line.strip():  # numbers side by side look like one
                         for part in re.finditer(r"(?:\+\d{1,3} )?\(?\d{2,4}\) ?\d{3}[ \-]?\d{3,4}|\d{3}[ .\-]\d{3}[ .\-]\d{4}|\+\d[\d()\-]+(?: [\d()\-]+)*|\d{12,19}|\d{4} \d{4} \d{4} \d{4}", line):
                             if sum(c.isdigit() for c in part.group()) >= 7:
