@@ -54,6 +54,8 @@ SPACE = "▁"
 REMEMBERED = 50_000
 #: Characters of words taken in step, columns of the table of transitions, words in a step, bytes of texts in a batch.
 LONGEST, CLASSES, IN_STEP, BATCH = 48, 160, 40_000, 8 << 20
+#: Words whose ids are gathered at once, and ids that are decoded at once (those of one text at least): index arrays have 8 bytes for each.
+AT_ONCE = 1 << 18
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -304,13 +306,20 @@ class Encoder:
         cut[1:] |= space[1:] & ~space[:-1]
         cut[ends[:-1]] = True
         begin = np.append(np.flatnonzero(cut), len(data))
-        runs = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        del space, cut
+        runs = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64, copy=False)), pa.py_buffer(data)).dictionary_encode()
+        borders = np.searchsorted(begin, ends)
+        del begin, data, texts
         ids, bounds = self._distinct(runs.dictionary)
         code = runs.indices.to_numpy()
-        size = np.diff(bounds)[code]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat(bounds[:-1][code] - upto[:-1], size) + np.arange(upto[-1])]
-        none[1:][full] = np.diff(upto[np.searchsorted(begin, ends)])
+        del runs
+        upto = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(np.diff(bounds)[code], out=upto[1:])
+        flat = np.empty(upto[-1], np.int32)
+        for k in range(0, len(code), AT_ONCE):
+            own, to = code[k : k + AT_ONCE], upto[k : k + AT_ONCE + 1]
+            flat[to[0] : to[-1]] = ids[np.repeat(bounds[own] - to[:-1], np.diff(to)) + np.arange(to[0], to[-1])]
+        none[1:][full] = np.diff(upto[borders])
         return flat, np.cumsum(none)
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -319,8 +328,10 @@ class Encoder:
             self.table = Table(self)
         table = self.table
         size = pc.utf8_length(words).to_numpy(False).astype(np.int64)
-        letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        letters = np.frombuffer(words.buffers()[2][ends[0] : ends[-1]].to_pybytes().decode().encode("utf-32-le"), np.uint32)
         kind = table.kind_of[np.minimum(letters, len(table.kind_of) - 1)]
+        del letters
         begin = np.concatenate([[0], np.cumsum(size)])
         usual = (size <= LONGEST) & (np.add.reduceat(kind < 0, begin[:-1]) == 0)
         own, count = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
@@ -344,22 +355,27 @@ class Encoder:
     def same(self, texts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Whether each text is what its ids decode to."""
         plain = pc.fill_null(texts.cast(pa.large_string()), "")
-        size = self.widths[ids]
-        upto = np.concatenate([[0], np.cumsum(size)])[bounds]
-        back = pc.take(self.spelled, pa.array(ids)).buffers()[2]
-        back = np.frombuffer(back, np.uint8)[: upto[-1]] if back is not None else np.zeros(0, np.uint8)
-        ends = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
-        data = np.frombuffer(plain.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
-        ends = ends - ends[0]
-        lead = (np.diff(upto) > 0).astype(np.int64) * self.dummy_prefix
-        fits = np.diff(upto) == np.diff(ends) + lead
-        width = np.where(fits, np.diff(ends), 0)
-        where = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        wrong = back[np.repeat(upto[:-1] + lead, width) + where] != data[np.repeat(ends[:-1], width) + where]
-        bad = np.concatenate([[0], np.cumsum(wrong)])[np.concatenate([[0], np.cumsum(width)])]
-        begins = np.ones(len(fits), bool)
-        begins[lead > 0] = back[upto[:-1][lead > 0]] == 32
-        return fits & (np.diff(bad) == 0) & begins
+        out, at = np.ones(len(plain), bool), 0
+        while at < len(plain):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + AT_ONCE, "right")) - 1)
+            out[at:end] = self._same(plain.slice(at, end - at), ids[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
+            at = end
+        return out
+
+    def _same(self, plain: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        size = np.diff(np.concatenate([[0], np.cumsum(self.widths[ids])])[bounds])
+        same = size == pc.binary_length(plain).to_numpy(False) + ((size > 0) & self.dummy_prefix)
+        held = same & (size > 0)  # of one length, which is not 0
+        if held.any():
+            back = np.frombuffer(pc.take(self.spelled, pa.array(ids)).buffers()[2], np.uint8)[: size.sum()]
+            if not held.all():
+                back, plain = back[np.repeat(held, size)], plain.filter(pa.array(held))
+            if self.dummy_prefix:
+                plain = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), plain, pa.scalar("", pa.large_string()))
+            ends = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+            wrong = back != np.frombuffer(plain.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            same[held] = ~np.logical_or.reduceat(wrong, ends[:-1] - ends[0])
+        return same
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")

@@ -340,6 +340,31 @@ def test_remembering_has_an_end(monkeypatch, library):
     assert [ids_of(own, t) for t in texts] == library.encode(texts) and len(own.words) <= 50 and len(own.agreed) <= 50
 
 
+def _most(f, *args):
+    """The result, and the bytes of arrays and Python objects held at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_memory_of_a_batch():
+    own = pieces.encoder(pieces.MODEL)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("thenationer,") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = pa.array([" ".join(rng.choices(words, k=500)) for _ in range(pieces.BATCH // 3000)])
+    own.encode_batch(texts[:3])
+    (ids, bounds), most = _most(own.encode_batch, texts)
+    assert most < 8 * texts.nbytes
+    same, most = _most(own.same, texts, ids, bounds)
+    assert most < 3 * texts.nbytes and same.all()
+    other = pa.array([t[:-1] + ("x" if t[-1] != "x" else "y") if k % 3 == 0 else t + "x" if k % 3 == 1 else t for k, t in enumerate(texts.to_pylist())])
+    assert own.same(other, ids, bounds).tolist() == [k % 3 == 2 for k in range(len(texts))]
+
+
 # ---- the pipeline
 
 
