@@ -50,20 +50,22 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(control, its bounds, data, its bounds) of consecutive runs of values (sizes[i] each)."""
-    values = values.astype(np.uint32)
-    length = 1 + (values >= 1 << 8).astype(np.int64) + (values >= 1 << 16) + (values >= 1 << 24)
-    ends = np.concatenate([[0], np.cumsum(length)])
-    data = np.zeros(ends[-1], np.uint8)
-    for k in range(4):
-        own = np.flatnonzero(length > k)
-        data[ends[own] + k] = (values[own] >> np.uint32(8 * k)) & np.uint32(255)
+    values = np.ascontiguousarray(values, "<u4")
+    length = np.ones(len(values), np.uint8)
+    for k in range(1, 4):
+        length += values >= 1 << 8 * k
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < length[:, None]]
+    ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
     groups = (sizes + 3) // 4
-    first, begin = np.cumsum(groups) - groups, np.cumsum(sizes) - sizes
-    codes = np.zeros(int(groups.sum()) * 4, np.uint8)
-    codes[np.arange(len(values)) + np.repeat(first * 4 - begin, sizes)] = length - 1
+    first = np.concatenate([[0], np.cumsum(groups)])
+    used = np.ones(int(first[-1]) * 4, bool)
+    for k in range(3):  # a run's last control byte has up to three values unused
+        used[(first[:-1] * 4 + sizes + k)[sizes + k < groups * 4]] = False
+    codes = np.zeros(len(used), np.uint8)
+    codes[used] = length - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.astype(np.uint8), np.append(first, len(control)), data, ends[np.append(begin, len(values))]
+    return control, first, data, ends
 
 
 def compress(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -126,14 +128,13 @@ def write_binary(docs: DataFrame, model: str = pieces.MODEL) -> tuple[DataFrame,
     rank_of[known["id"].to_numpy(np.int64)] = known["rank"].to_numpy(np.uint32)
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                values, bounds = _values(part.column(1))
-                sizes, null = np.diff(bounds), np.array(part.column(1).is_null())
-                control, by_control, data, by_data = _coded(rank_of[values], sizes)
-                columns = [_binaries(control, by_control, null), _binaries(data, by_data, null)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names=["doc_id", "n_tokens", "control", "data"])
+        for part in pieces.parts(batches, 1):
+            values, bounds = _values(part.column(1))
+            sizes, null = np.diff(bounds), np.array(part.column(1).is_null())
+            control, by_control, data, by_data = _coded(rank_of[values], sizes)
+            columns = [_binaries(control, by_control, null), _binaries(data, by_data, null)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names=["doc_id", "n_tokens", "control", "data"])
+        give_back()
 
     return raw.mapInArrow(recode, "doc_id long, n_tokens long, control binary, data binary"), table
 

@@ -513,7 +513,7 @@ def encoder(path: str) -> Encoder:
 
 
 def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about BATCH bytes of a column of texts, one row at least."""
+    """The batches in slices of about BATCH bytes of a column of texts or binaries, one row at least."""
     for batch in batches:
         upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False).astype(np.int64))])
         at = 0

@@ -258,6 +258,17 @@ def test_binary_round_trip(docs, odd, none):
     assert coded.count() == 0 and table.count() == 0
 
 
+def test_coding_memory():
+    rng = np.random.default_rng(10)
+    sizes = rng.integers(0, 2000, 500)
+    values = (2.0 ** rng.uniform(0, 32, sizes.sum())).astype(np.uint32)
+    (control, by_control, data, by_data), most = _most(binary_ids._coded, values, sizes)
+    assert most < 6 * values.nbytes
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for k, n in enumerate(sizes.tolist()):
+        assert (binary_ids.expand(control[by_control[k] : by_control[k + 1]].tobytes(), data[by_data[k] : by_data[k + 1]].tobytes(), n) == values[ends[k] : ends[k + 1]]).all()
+
+
 # ---- 10
 
 ODD_TEXTS = ["", " ", "  ", " a  b\nc  ", "x　y ﬁ ①\tz", "éanment x", "\n\n a", "日本語 テキスト😀😀 ok", "a\n b\n\nc ", "def f(x):\n    return x*2  # ok\n" * 5, "a" * 3000, "x​q", "▁", "a ▁ b"]
