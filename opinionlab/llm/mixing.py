@@ -47,7 +47,11 @@ WEIGHTS = {f"src{i}": 2.0 + i % 2 for i in range(20)}
 
 
 def n_tokens(text: Column) -> Column:
-    """Runs of characters other than white space (space, tab, line breaks, form feed); 0 for null."""
+    """Runs of characters other than white space (space, tab, line breaks, form feed); 0 for null.
+
+    Declared non-deterministic: else a filter or join by it is pushed below and
+    counts again, in a Python worker of its own beside the task's other one.
+    """
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
@@ -72,7 +76,7 @@ def n_tokens(text: Column) -> Column:
         give_back()
         return pa.array(out)
 
-    return count(text)
+    return count.asNondeterministic()(text)
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -151,10 +155,15 @@ def budgets(histogram: DataFrame, weights: dict[str, float], budget: int | None,
     return {s: min(have.get(s, 0), int(budget * (w / whole))) for s, w in own.items()}
 
 
+def _counted(docs: DataFrame, weights: dict[str, float], seed: int) -> DataFrame:
+    """(source, length, h) of the weighted sources' documents that have tokens."""
+    own = docs.filter(F.col("source").isin(list(weights)))
+    return own.select("source", n_tokens(F.col("text")).alias("length"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).filter(F.col("length") > 0)
+
+
 def plan(docs: DataFrame, weights: dict[str, float], budget: int | None = None, seed: int = 11, require_all: bool = False) -> DataFrame:
     """(source, length, cut): of a source's documents of that length those with a hash up to cut are taken."""
-    slim = docs.select("source", n_tokens(F.col("text")).alias("length"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).filter(F.col("length") > 0).filter(F.col("source").isin(list(weights)))
-    slim = stored(slim)  # 8 bytes a document and more: texts are read once
+    slim = stored(_counted(docs, weights, seed))  # 8 bytes a document and more: texts are read once
     histogram = stored(slim.groupBy("source", "length").agg(F.count("*").alias("n")))
     target = budgets(histogram, weights, budget, require_all)
 

@@ -67,6 +67,8 @@ N, T = 3, 0.5
 BROADCAST_ROWS = 500_000
 #: n-grams of a chunk, and of a chunk of sets; entries that a bucket should have; sets of a shard; documents of a chunk (numbered by 16 bits).
 CHUNK_GRAMS, SET_GRAMS, BUCKET_GRAMS, BLOCK_SETS, CHUNK_DOCS = 2_000_000, 500_000, 1_000_000, 1024, 60_000
+#: n-grams of a chunk that are computed with at once.
+AT_ONCE = 1 << 18
 #: Least number of buckets is this many times the shuffle partitions.
 BUCKETS_EACH = 2
 #: Bits of an n-gram that stand for it within a bucket.  Two of a bucket's n-grams that have the same only count as shared.
@@ -103,10 +105,14 @@ def _numbers(body: bytes, n: int, kind: type = np.uint32, at: int = 0) -> np.nda
 
 def _slices(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets that have any, bounds of each, BITS bits) of ascending n-gram hashes."""
-    wide = own * np.uint64(buckets)
-    bucket, bits = (wide >> np.uint64(grams.GRAM_BITS)).astype(np.int64), ((wide & _LOW) >> np.uint64(grams.GRAM_BITS - BITS)).astype(np.uint32)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    return bucket[first], np.append(first, len(bucket)), bits
+    # a bucket begins at the least hash that, times buckets, reaches its number's high bits
+    least = ((np.arange(buckets + 1, dtype=np.uint64) << np.uint64(grams.GRAM_BITS)) + np.uint64(buckets - 1)) // np.uint64(buckets)
+    at = np.searchsorted(own, least)
+    bucket = np.flatnonzero(np.diff(at))
+    bits = np.empty(len(own), np.uint32)
+    for k in range(0, len(own), AT_ONCE):
+        bits[k : k + AT_ONCE] = ((own[k : k + AT_ONCE] * np.uint64(buckets)) & _LOW) >> np.uint64(grams.GRAM_BITS - BITS)
+    return bucket, np.append(at[bucket], len(own)), bits
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -129,38 +135,44 @@ def _written(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """Chunks of the texts: for each bucket its n-grams and the documents that hold them (or that several do), in bucket -1 the directory."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # ids, nulls, n-grams and documents in one number, signatures, sizes
         count = [0, 0, TaskContext.get().partitionId() << 32]
 
         def flush() -> pa.RecordBatch:
-            own = np.concatenate([x[2] for x in held])
             docs = np.zeros(count[1], _DOC)
-            docs["id"], docs["null"], docs["size"] = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3))
-            bounds = np.concatenate([[0], np.cumsum(docs["size"], dtype=np.int64)])
-            docs["sig"] = np.where(docs["size"] > 0, _signatures(bounds, own), 0)
-            key = np.sort((own << np.uint64(16)) | np.repeat(np.arange(count[1], dtype=np.uint64), docs["size"]))
-            gram, doc = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.uint16)
+            docs["id"], docs["null"], docs["sig"], docs["size"] = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3, 4))
+            gram = np.concatenate([x[2] for x in held])
+            held.clear()
+            # one array of the chunk's n-grams at a time: it is sorted and shifted where it lies
+            gram.sort()
+            doc = np.ascontiguousarray(gram.astype("<u8", copy=False).view("<u2")[::4])
+            gram >>= np.uint64(16)
             fresh = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
             alone = fresh & np.append(fresh[1:], True)[: len(fresh)]
-            docs["shared"] = np.bincount(doc[~alone], minlength=count[1])
-            who = np.where(alone, doc, _SEVERAL).astype(np.uint16)[fresh]
-            own_buckets, at, bits = _slices(gram[fresh], buckets)
+            for k in range(0, len(doc), AT_ONCE):
+                docs["shared"] += np.bincount(doc[k : k + AT_ONCE][~alone[k : k + AT_ONCE]], minlength=count[1]).astype(np.int32)
+            doc[~alone] = _SEVERAL
+            who, gram = doc[fresh], gram[fresh]
+            del doc, fresh, alone
+            own_buckets, at, bits = _slices(gram, buckets)
+            del gram
             rows = [(count[2], -1, count[1], docs.tobytes())]
             rows += [(count[2], b, z - a, _planes(bits[a:z]) + who[a:z].tobytes()) for b, a, z in zip(own_buckets.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            held.clear()
             count[:] = [0, 0, count[2] + 1]
             return _rows(rows)
 
         for batch in batches:
             for first, bounds, own in grams.gram_sets(batch.column(1), n):
                 ids = batch.column(0).slice(first, len(bounds) - 1)
+                sig, size = np.where(np.diff(bounds) > 0, _signatures(bounds, own), 0), np.diff(bounds)
                 # a run of texts has about a megabyte or a single text, and at most 65,535 rows
                 for a in range(0, len(ids), CHUNK_DOCS):
                     z = min(len(ids), a + CHUNK_DOCS)
                     if held and (count[0] + bounds[z] - bounds[a] > CHUNK_GRAMS or count[1] + z - a > CHUNK_DOCS):
                         yield flush()
                     part = ids.slice(a, z - a)
-                    held.append((part.fill_null(0).to_numpy(), np.array(part.is_null()), own[bounds[a] : bounds[z]], np.diff(bounds[a : z + 1])))
+                    key = (own[bounds[a] : bounds[z]] << np.uint64(16)) | np.repeat(np.arange(count[1], count[1] + z - a, dtype=np.uint64), size[a:z])
+                    held.append((part.fill_null(0).to_numpy(), np.array(part.is_null()), key, sig[a:z], size[a:z]))
                     count[0], count[1] = count[0] + int(bounds[z] - bounds[a]), count[1] + z - a
         if held:
             yield flush()
@@ -354,23 +366,36 @@ def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
             root = up
 
 
-def _met(own: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of entries to link, so that all pairs that may join are connected."""
-    own_order = np.lexsort((1 - own["index"], own["size"], own["gram"]))
-    own = own[own_order]
-    size = own["size"].astype(np.int64)
+def _entries(bodies: list[bytes], field: str) -> np.ndarray:
+    """A field of entries that were packed as columns of bytes."""
+    kind, at = _ENTRY.fields[field]
+    columns = (np.frombuffer(body, np.uint8).reshape(_ENTRY.itemsize, -1)[at : at + kind.itemsize] for body in bodies)
+    return np.concatenate([np.ascontiguousarray(c.T).view(kind).ravel() for c in columns])
+
+
+def _met(gram: np.ndarray, size: np.ndarray, left: np.ndarray, index: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of entries to link, so that all pairs that may join are connected; sizes are below 2 ** 31."""
+    key = gram.astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= size.astype(np.uint32) << np.uint32(1) | (index == 0)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    index, size = (key & np.uint64(1)) == 0, (key.astype(np.uint32) >> np.uint32(1)).astype(np.int32)
+    key >>= np.uint64(32)
     # runs of one n-gram, cut where a size and the next rule each other out
-    head = np.concatenate([[True], (own["gram"][1:] != own["gram"][:-1]) | (size[:-1] < t * size[1:] - 1e-9)])
-    run, place = np.cumsum(head) - 1, np.arange(len(own))
+    head = np.concatenate([[True], (key[1:] != key[:-1]) | (size[:-1] < t * size[1:] - 1e-9)])
+    del key
+    run = np.cumsum(head, dtype=np.int32)
+    run -= 1
     # of a pair the smaller has it in its index: sets before the first such have no larger one to join
-    first = np.full(run[-1] + 1, len(own))
-    np.minimum.at(first, run[own["index"] > 0], np.flatnonzero(own["index"]))
-    good = place >= first[run]
+    first = np.full(run[-1] + 1, len(run), np.int32)
+    np.minimum.at(first, run[index], np.flatnonzero(index).astype(np.int32))
+    good = np.arange(len(run), dtype=np.int32) >= first[run]
     link = np.flatnonzero(good[:-1] & good[1:] & (run[1:] == run[:-1]))
     alone = np.bincount(run[good], minlength=run[-1] + 1)[run[link]] == 2
-    enough = np.minimum(own["left"][link], own["left"][link + 1]) >= t / (1 + t) * (size[link] + size[link + 1]) - 1e-9
-    link = link[~alone | enough]
-    return own_order[link], own_order[link + 1]
+    a, b = order[link], order[link + 1]
+    enough = np.minimum(left[a], left[b]) >= t / (1 + t) * (size[link].astype(np.int64) + size[link + 1]) - 1e-9
+    return a[~alone | enough], b[~alone | enough]
 
 
 def _links(sets: DataFrame, t: float) -> DataFrame:
@@ -396,9 +421,15 @@ def _links(sets: DataFrame, t: float) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by(batches, 1):
-            own = np.concatenate([np.ascontiguousarray(np.frombuffer(r[3], np.uint8).reshape(_ENTRY.itemsize, -1).T).view(_ENTRY).ravel() for r in rows])
-            names, node = np.unique(own["sig"], return_inverse=True)
-            a, b = _met(own, t)
+            bodies = [r[3] for r in rows]
+            rows.clear()
+            gram, size, left, index = (_entries(bodies, x) for x in ("gram", "size", "left", "index"))
+            a, b = _met(gram, size, left, index, t)
+            del gram, size, left, index
+            sig = _entries(bodies, "sig")
+            del bodies
+            names, node = np.unique(sig, return_inverse=True)
+            del sig
             root = _forest(node[a], node[b], len(names))
             child = np.flatnonzero(root != np.arange(len(names)))
             yield pa.RecordBatch.from_arrays([pa.array(names[root[child]]), pa.array(names[child])], names=["a", "b"])

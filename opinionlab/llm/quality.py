@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .tables import discard, stored
+from .tables import discard, give_back, stored
 
 CLASSES = ["upper", "lower", "digit", "high", "space", "newline", "stop", "comma", "bang", "mark", "bar", "other"]
 FEATURES = [*CLASSES, "log_words", "word_length", "distinct", "repeated", "line_words", "caps_words", "long_words"]
@@ -221,6 +221,7 @@ def described(docs: DataFrame) -> DataFrame:
             x = features(batch.column(1))
             packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 4 * len(FEATURES)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc_id", "x"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, x binary")
 
@@ -306,6 +307,8 @@ def filter_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def kept(texts: pa.Array) -> pa.Array:
-        return pa.array(judge(features(texts), model)[1])
+        out = pa.array(judge(features(texts), model)[1])
+        give_back()
+        return out
 
     return docs.filter(kept(docs["text"]))

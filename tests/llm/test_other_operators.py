@@ -175,6 +175,13 @@ def test_tokens_counted(spark):
     assert [r[1] for r in sorted(df.select("k", mixing.n_tokens(df["t"])).collect())] == want
 
 
+def test_mix_counts_once(docs):
+    """A filter or join by the number of tokens doesn't count again in a second Python worker of the task."""
+    weights = {f"src{k}": 1.0 for k in range(10)}
+    for df in (mixing.mix_rows(docs, weights), mixing.mix(docs, weights, broadcast_rows=0), docs.select(mixing.n_tokens(docs["text"]).alias("n")).filter("n > 0")):
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython") == 1
+
+
 # ---- 5
 
 
