@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from opinionlab.functions import gram_codes
-from opinionlab.operators import topics
+from opinionlab.operators import classify, topics
 from opinionlab.sources.tables import stored
 
 #: few characters, many, and more than fit packed codes
@@ -71,3 +71,26 @@ def test_texts_of_one_key_count_together(spark):
     vecs = topics.vectors(counts, topics.vocabulary(counts, 4), "id")
     got = {r["id"]: {topics.grams_of(vecs)[t]: c for t, c in zip(r["terms"], r["tf"], strict=True)} for r in vecs.collect()}
     assert got == {1: {"ab": 3, "ba": 1, "aba": 1, "bab": 1, "abab": 1}, 2: {"ab": 1, "bc": 1, "abc": 1}, 3: {}}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_counted_where_texts_are(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "😀"), (3, None)], "id long, t string")
+    own = classify.gram_counts(df, "id", "t")
+    assert "Exchange" not in plan(own)
+    assert sorted(map(tuple, own.collect())) == sorted([(1, "a", 2), (1, "b", 1), (1, "ab", 1), (1, "ba", 1), (2, "😀", 1)])
+    again = df.union(df.filter("id = 1"))
+    assert {(r["id"], r["gram"]): r["c"] for r in classify.gram_counts(again, "id", "t").collect()}[(1, "a")] == 4
+
+
+def test_label_given_twice_counts_a_text_twice(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, "b")], "id long, t string")
+    given = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (9, "x")], "id long, l string")
+    got = sorted(map(tuple, classify.model_tokens(docs, "id", "t", "l", given).collect()))
+    assert got == [("x", "a", 2), ("x", "ab", 2), ("x", "b", 2), ("y", "b", 1)]
+    scored = classify.train_and_score(docs, "id", "t", "l", "nb", given)
+    # neither the text nor its grams are shuffled to score it
+    assert "Exchange" not in plan(scored) and [r["predicted_label"] for r in scored.orderBy("id").collect()] == ["x", "y"]
