@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     """K1: a folder of CSV files, or with bom one file with a byte-order mark for spreadsheet tools, written by the driver row by row."""
     if not bom:
-        df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+        # white space at a text's ends is part of it; Spark's writer would trim it
+        df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         return
     import csv
 

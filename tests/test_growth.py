@@ -6,9 +6,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from opinionlab import queries
 from opinionlab.functions import gram_codes
-from opinionlab.operators import classify, topics
+from opinionlab.operators import classify, rows, topics
 from opinionlab.sources.tables import stored
 
 #: few characters, many, and more than fit packed codes
@@ -93,4 +95,27 @@ def test_label_given_twice_counts_a_text_twice(spark):
     assert got == [("x", "a", 2), ("x", "ab", 2), ("x", "b", 2), ("y", "b", 1)]
     scored = classify.train_and_score(docs, "id", "t", "l", "nb", given)
     # neither the text nor its grams are shuffled to score it
-    assert "Exchange" not in plan(scored) and [r["predicted_label"] for r in scored.orderBy("id").collect()] == ["x", "y"]
+    assert "Exchange" not in plan(scored) and [r["predicted_label"] for r in scored.orderBy("id").collect()] == ["x", "x"]
+
+
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    own = ["a\r\nb", " lead", "trail ", "\ttab\t", "NA", "null", "nan", '"q"', '"', "\\", 'a\\"', "\n", "x\n", "\nx", "#c", " ", '",\n"', "\r\n", 'x"\n1,"y', None, ""]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(own)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r["doc_id"]): r["text"] for r in queries.queries()["csv_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {i: t or None for i, t in enumerate(own)}
+
+
+def test_quantiles_by_force(spark, monkeypatch):
+    rng = random.Random(2)
+    parts = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for few in (10_000, 3):
+        monkeypatch.setattr(rows, "_FEW", few)
+        for own in ([rng.gauss(0, 1) for _ in range(300)], [rng.choice([1e9, 1e9 + 1e-6, 5.0]) for _ in range(101)], [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-323, 3.0, 4.0], [float("-inf"), float("inf"), 1.0, 2.0, 3.0, None], [7.0] * 50, [None], list(range(1000))):
+            df = spark.createDataFrame([(None if v is None else float(v),) for v in own], "x double")
+            want = df.select(*(F.percentile("x", F.lit(p)) for p in parts)).first()
+            assert rows.quantiles(df, F.col("x"), parts) == pytest.approx(list(want), nan_ok=True)
+    # values stay where they are: none is shuffled
+    df = spark.range(50_000).selectExpr("id", "cast((id * 7919) % 50000 as double) AS x")
+    n, got = jobs(spark, "q", lambda: rows.outliers_iqr(df, "x", 0.25))
+    assert "Exchange" not in plan(got) and "Join" not in plan(got)
+    assert {r["id"] for r in got.collect()} == {i for i in range(50_000) if not 12499.75 - 6249.875 <= i * 7919 % 50_000 <= 37499.25 + 6249.875}
