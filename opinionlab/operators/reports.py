@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import scalar, text
-from . import sampling
-
+from . import rows, sampling
 
 
 def whole() -> WindowSpec:
@@ -134,7 +133,7 @@ def confidence_summary(df: DataFrame, confidence: str, margin: str) -> DataFrame
     c, m = scalar.number(F.col(confidence)), scalar.number(F.col(margin))
     part = lambda test: F.round(F.avg(F.coalesce(test, F.lit(False)).cast("double")), 4)
     one = df.agg(
-        F.round(F.avg(c), 4).alias("confidence_mean"), F.round(F.percentile(c, F.lit(0.5)), 4).alias("confidence_median"), part(c < 0.6).alias("confidence_lt_0_6_share"), part(c < 0.4).alias("confidence_lt_0_4_share"),
+        F.round(F.avg(c), 4).alias("confidence_mean"), F.round(F.lit(rows.quantiles(df, c, [0.5])[0]).cast("double"), 4).alias("confidence_median"), part(c < 0.6).alias("confidence_lt_0_6_share"), part(c < 0.4).alias("confidence_lt_0_4_share"),
         F.round(F.avg(m), 4).alias("top2_margin_mean"), part(m < 0.15).alias("top2_margin_lt_0_15_share"),
     )
     return one.unpivot([], one.columns, "metric", "value")
