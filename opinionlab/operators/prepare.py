@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar, text
 from ..sources.readers import ORDINAL
+from ..sources.tables import stored
 
 SALT = "opinionlab"
 #: What removes a row, in order.
@@ -32,7 +33,8 @@ def staged(df: DataFrame, text_col: str, ordinal: str = ORDINAL, *, drop_low_inf
     own = own.withColumn("removed_by", removed)
     if dedupe:
         apart = F.when(F.col("removed_by").isNotNull(), F.col(ordinal))
-        place = F.row_number().over(Window.partitionBy(F.xxhash64(*dedupe), apart, *dedupe).orderBy(ordinal))
+        keys = [text.digest(F.col(c)) if c == "clean_text" else F.col(c) for c in dedupe]
+        place = F.row_number().over(Window.partitionBy(apart, *keys).orderBy(ordinal))
         own = own.withColumn("removed_by", F.when(F.col("removed_by").isNull() & (place > 1), STAGES[4]).otherwise(F.col("removed_by")))
     return own
 
@@ -40,14 +42,11 @@ def staged(df: DataFrame, text_col: str, ordinal: str = ORDINAL, *, drop_low_inf
 def prepare(df: DataFrame, text_col: str, ordinal: str = ORDINAL, hash_col: str | None = None, salt: str = SALT, **how) -> DataFrame:
     """The kept rows with row_id 0 .. n - 1 in input order, text_hash, duplicate_count and source_hash."""
     kept = scalar.keep(staged(df, text_col, ordinal, **how), F.col("removed_by").isNull()).drop("removed_by")
-    kept = kept.withColumns(
-        {
-            "text_hash": scalar.hashed(F.col("clean_text"), salt),
-            "duplicate_count": F.count("*").over(Window.partitionBy(F.xxhash64("clean_text"), "clean_text")),
-            "source_hash": scalar.hashed(F.col(hash_col), salt) if hash_col else F.lit(""),
-        }
-    )
-    return scalar.dense_ids(kept, ordinal, "row_id")
+    # rows are counted and numbered without their texts, which then move once, to meet their numbers
+    marks = stored(kept.select(ordinal, text.digest(F.col("clean_text")).alias("_digest")))
+    marks = marks.withColumn("duplicate_count", F.count("*").over(Window.partitionBy("_digest"))).drop("_digest")
+    kept = kept.withColumns({"text_hash": scalar.hashed(F.col("clean_text"), salt), "source_hash": scalar.hashed(F.col(hash_col), salt) if hash_col else F.lit("")})
+    return kept.join(scalar.dense_ids(marks, ordinal, "row_id"), ordinal)
 
 
 def summary(df: DataFrame, text_col: str, ordinal: str = ORDINAL, min_info_len: int = 0, **how) -> DataFrame:

@@ -119,22 +119,25 @@ def privacy_summary(df: DataFrame, columns: list[str], ordinal: str) -> DataFram
 
 def quality_flags(df: DataFrame, column: str, short: int = 6) -> DataFrame:
     """Df with squashed text, info_len, FLAGS and duplicate_count."""
-    own = df.withColumn("_text", text.squash(F.col(column)))
-    t = F.col("_text")
-    n = text.info_length_profile(t)
-    own = own.withColumns(
-        {
-            "info_len": n,
-            "empty_text": t == "",
-            "short_text_candidate": (n < short) & (t != ""),
-            "emoji_or_symbol_only": text.symbol_only(t),
-            "bracket_token_only": text.bracket_only(t),
-            "common_low_info_text": text.common_low_information(t),
-            **{name: text.profile_flag(t, name) for name in text.PROFILE_PATTERNS},
-            "duplicate_count": F.count("*").over(Window.partitionBy(F.xxhash64("_text"), "_text")),
-        }
-    )
-    return own.withColumn("duplicate_expression", (F.col("duplicate_count") > 1) & (t != "")).drop("_text")
+    own = _flagged(df.withColumn("_text", text.squash(F.col(column))), short).drop("_text")
+    # flags are made before the window, and equal texts are found by their digests, so that texts move only if they are asked for
+    own = own.withColumn("duplicate_count", F.count("*").over(Window.partitionBy("_digest"))).drop("_digest")
+    return own.withColumn("duplicate_expression", (F.col("duplicate_count") > 1) & ~F.col("empty_text"))
+
+
+def _flagged(own: DataFrame, short: int) -> DataFrame:
+    """own with the flags of its squashed _text, but for duplicate_expression, info_len and _digest."""
+    t, n = F.col("_text"), F.col("info_len")
+    flags = {
+        "empty_text": t == "",
+        "short_text_candidate": (n < short) & (t != ""),
+        "emoji_or_symbol_only": text.symbol_only(t),
+        "bracket_token_only": text.bracket_only(t),
+        "common_low_info_text": text.common_low_information(t),
+        **{name: text.profile_flag(t, name) for name in text.PROFILE_PATTERNS},
+        "_digest": text.digest(t),
+    }
+    return own.withColumn("info_len", text.info_length_profile(t)).withColumns(flags)
 
 
 def stacked(df: DataFrame, metrics: dict[str, Column], value: str = "value") -> DataFrame:
@@ -145,19 +148,10 @@ def stacked(df: DataFrame, metrics: dict[str, Column], value: str = "value") ->
 
 def quality_profile(df: DataFrame, column: str, short: int = 6) -> DataFrame:
     """(metric, count, share) of rows, unique_texts, duplicate_extra_rows and each of FLAGS."""
-    t = text.squash(F.col(column))
-    # texts are counted first: the flags then run once for each distinct text, without a window
-    texts = df.select(t.alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    n = text.info_length_profile(F.col("t"))
-    tests = {
-        "empty_text": F.col("t") == "",
-        "short_text_candidate": (n < short) & (F.col("t") != ""),
-        "emoji_or_symbol_only": text.symbol_only(F.col("t")),
-        "bracket_token_only": text.bracket_only(F.col("t")),
-        "common_low_info_text": text.common_low_information(F.col("t")),
-        **{name: text.profile_flag(F.col("t"), name) for name in text.PROFILE_PATTERNS},
-        "duplicate_expression": (F.col("n") > 1) & (F.col("t") != ""),
-    }
+    # flags are made where the texts are; rows of equal flags and digest are one of the shuffle
+    names = [f for f in FLAGS if f != "duplicate_expression"]
+    texts = _flagged(df.select(text.squash(F.col(column)).alias("_text")), short).groupBy("_digest", *names).agg(F.count("*").alias("n"))
+    tests = {**{f: F.col(f) for f in names}, "duplicate_expression": (F.col("n") > 1) & ~F.col("empty_text")}
     agg = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("unique_texts"), *(F.coalesce(F.sum(F.when(v, F.col("n"))), F.lit(0)).alias(k) for k, v in tests.items()))
     agg = agg.withColumn("duplicate_extra_rows", F.col("rows") - F.col("unique_texts"))
     entries = F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("long").alias("count"), scalar.share(F.col(k), F.col("rows")).alias("share")) for k in ["rows", "unique_texts", "duplicate_extra_rows", *FLAGS]))

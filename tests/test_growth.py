@@ -1,6 +1,7 @@
 """What a query costs as its tables grow, and that it counts as before: jobs, bytes shuffled, grams by brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionlab import queries
-from opinionlab.functions import gram_codes
-from opinionlab.operators import classify, rows, topics
+from opinionlab.functions import gram_codes, text
+from opinionlab.operators import classify, prepare, profile, rows, topics
 from opinionlab.sources.tables import stored
 
 #: few characters, many, and more than fit packed codes
@@ -119,3 +120,40 @@ def test_quantiles_by_force(spark, monkeypatch):
     n, got = jobs(spark, "q", lambda: rows.outliers_iqr(df, "x", 0.25))
     assert "Exchange" not in plan(got) and "Join" not in plan(got)
     assert {r["id"] for r in got.collect()} == {i for i in range(50_000) if not 12499.75 - 6249.875 <= i * 7919 % 50_000 <= 37499.25 + 6249.875}
+
+
+def test_short_cuts_of_text_rules(spark):
+    """The rules as they are said, without the looks that spare most texts the work."""
+    rng = random.Random(4)
+    bits = [" ", "  ", "\n", "　", "\x1c", "[", "]", "[赞]", "[ ]", "@", "@a ", "www.", "w ww.x", "http://", "ht tps://a", "HTTP://B", "h", "W", "a", "é", "7", "1234567", "13812345678", "٣٤٥٦٧٨٩", "a@b.cc", "?", "吗", "好的", "666", "呵呵", "👍", "-", "x y", "#", "哪里"]
+    own = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 7))) for _ in range(3000)] + bits + [None]
+    df = spark.createDataFrame([(t,) for t in own], "t string")
+    t = text.plain(F.col("t"))
+    none = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")) == 0
+    cut = lambda x: F.regexp_replace(x, r"\[[^\]]+\]", "")
+    links = lambda x: F.regexp_replace(F.regexp_replace(cut(x), rf"(?iU)https?://{text._NON}+|www\.{text._NON}+", ""), rf"(?U)@{text._NON}+", "")
+    c = text.compact(t)
+    tokens = lambda k: c.rlike(rf"^(?:\[[^\]]{{1,{k}}}\])+$")
+    emoji = (c != "") & (tokens(8) | none(cut(c)))
+    rules = {
+        "squash": (text.squash(t), F.trim(F.regexp_replace(t, f"{text.SPACE}+", " "))),
+        "bracket_only": (text.bracket_only(t), tokens(12)),
+        "emoji_only": (text.emoji_only(t), emoji),
+        "symbol_only": (text.symbol_only(t), (c != "") & (tokens(12) | none(links(c)))),
+        "attitude": (text.attitude(t), ~emoji & t.rlike(text.ATTITUDE)),
+        "info_length_profile": (text.info_length_profile(t), F.length(F.regexp_replace(links(t), r"[^\p{L}\p{N}]+", "")).cast("long")),
+        "low_information": (text.low_information(t), c.isin(text.LOW_INFORMATION) | emoji),
+        **{n: (text.profile_flag(t, n), t.rlike(p)) for n, p in text.PROFILE_PATTERNS.items()},
+    }
+    wrong = df.select("t", F.array_compact(F.array(*(F.when(~a.eqNullSafe(b), n) for n, (a, b) in rules.items()))).alias("w")).filter("size(w) > 0").limit(5).collect()
+    assert wrong == []
+
+
+def test_flags_and_numbers_move_no_text(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    for df in (profile.quality_flags(docs, "text").drop("text"), profile.quality_profile(docs, "text")):
+        moved = [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x]
+        assert moved and all("_digest" in x and not re.search(r"\b_?text#", x) for x in moved)
+    # the kept rows' text moves once, to meet its number
+    own = prepare.prepare(docs, "text", "doc_id", drop_low_info=True)
+    assert not any("Window" in line and "clean_text" in line for line in own._jdf.queryExecution().optimizedPlan().toString().splitlines())
