@@ -157,3 +157,10 @@ def test_flags_and_numbers_move_no_text(spark, small):
     # the kept rows' text moves once, to meet its number
     own = prepare.prepare(docs, "text", "doc_id", drop_low_info=True)
     assert not any("Window" in line and "clean_text" in line for line in own._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_regression_scores_where_the_texts_are(spark):
+    own = spark.createDataFrame([(k, "abab" if k % 2 else "cdcd", ("odd" if k % 2 else "even") if k < 8 else None) for k in range(12)], "id long, t string, l string")
+    scored = classify.train_and_score(own.select("id", "t"), "id", "t", "l", "lr", own.filter("l is not null").select("id", "l"), max_iter=5)
+    assert "Exchange" not in plan(scored)
+    assert all(r["predicted_label"] == ("odd" if r["id"] % 2 else "even") for r in scored.collect())
